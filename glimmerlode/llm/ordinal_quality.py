@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 BUCKETS = 1 << 18
 GRADES = 3
 UNIT = 1 << 20
@@ -163,3 +163,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float =
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sum(tails), pa.float64()), pa.array(tails[-1], pa.float64()), pa.array((tails[-1] >= least) & some, pa.bool_()), pa.array(s, pa.float64())], names=["doc_id", "expected_grade", "tail_probability", "keep", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def kept(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:
+    """The rows of docs that the model keeps, with all their columns: the decision is made where the row is."""
+    packed, cut = model[0].tobytes(), float(model[1][-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.frombuffer(packed, np.int64)
+        memo = Features(frozenset(np.nonzero(weights)[0].tolist()))
+        for b in batches:
+            keep = []
+            for t in b.column("text").to_pylist():
+                score_ = int(weights[buckets_of(t or "", memo)].sum()) / UNIT
+                keep.append(bool(t and not t.isspace()) and 1 / (1 + np.exp(-np.clip(score_ - cut, -35, 35))) >= least)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
