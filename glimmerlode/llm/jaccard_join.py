@@ -32,7 +32,7 @@ WIDTH, PERCENT = 4, 85
 GROUPS = 64
 BLOCK = 512
 FAN = 16
-SKETCH_BITS = 22
+SKETCH_BITS = 19
 CHUNKS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K = [np.uint64(int.from_bytes(xxhash.xxh3_64_digest(bytes([i])), "little") | 1) for i in range(3)]
