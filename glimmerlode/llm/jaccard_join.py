@@ -231,11 +231,9 @@ def components(links: DataFrame) -> DataFrame:
         other = label.select(F.col("cid").alias("b"), F.col("comp").alias("other"))
         least = both.join(other, "b").groupBy(F.col("a").alias("cid")).agg(F.min("other").alias("near"))
         hooked = label.join(least, "cid").select("cid", "comp", F.least("comp", "near").alias("new"))
-        # a root that hooks carries its members along
-        roots = hooked.groupBy(F.col("comp").alias("root")).agg(F.min("new").alias("to"))
-        jumped = hooked.join(roots, F.col("comp") == F.col("root")).select("cid", "comp", F.least("new", "to").alias("new"))
-        parent = jumped.select(F.col("cid").alias("p"), F.col("new").alias("up"))
-        step = materialize(jumped.join(parent, F.col("new") == F.col("p"), "left").select("cid", F.col("comp").alias("old"), F.least("new", F.coalesce("up", "new")).alias("comp")), "labels")
+        parent = hooked.select(F.col("cid").alias("p"), F.col("new").alias("up"))
+        jumped = hooked.join(parent, F.col("new") == F.col("p"), "left")
+        step = materialize(jumped.select("cid", F.col("comp").alias("old"), F.least("new", F.coalesce("up", "new")).alias("comp")), "labels")
         if step.where("old <> comp").isEmpty():
             return step.select("cid", "comp")
         label = step.select("cid", "comp")
