@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 
 def first_object(text: str) -> str | None:
@@ -21,7 +22,7 @@ def first_object(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_of(replies: pd.Series) -> pd.Series:
     return replies.map(lambda t: first_object(t) if t else None)
 
