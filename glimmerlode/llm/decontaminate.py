@@ -4,8 +4,9 @@ Texts become templates: numbers, names and units turn into typed placeholders, o
 of WINDOW template tokens of the benchmark meet those of the documents in a hash join; the benchmark side is broadcast
 only while its counted rows stay under BROADCAST_ROWS. A document is a candidate for an item if the distinct windows
 of the item that it holds are at least SIMILARITY of the item's windows. Candidates whose item has slots are read
-again with the fillers of their slots: matches are grouped by diagonal (document position minus item position), and
-only diagonals whose fillers map one to one count, so re-parameterised copies stay and chance meetings go.
+again with the fillers of their slots: matches are grouped by diagonal (document position minus item position), whose
+fillers map one to one by majority. A window against that mapping counts only if its fillers are the item's own, so
+re-parameterised copies stay, chance meetings go, and a clash costs the windows that hold it and no others.
 
 An item with fewer words than a window matches where its whole template equals a document's. Defined cases: null
 texts and items without words match nothing; rows that repeat a doc_id count as one document; a null doc_id is a
@@ -90,7 +91,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def _consistent(docs: DataFrame, benchmark: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """s_doc, s_item, s_hits: for candidates whose item has slots, the distinct windows on one-to-one diagonals."""
+    """s_doc, s_item, s_hits: for candidates whose item has slots, the distinct windows whose fillers hold.
+
+    These are windows without slots, with the same fillers on both sides, or whose fillers all follow their diagonal's
+    mapping: each item filler goes to the document filler it meets in most windows, and of item fillers that then share
+    a document filler the one with most windows keeps it.
+    """
     items = fillers(benchmark.select("item_id", "text"), "item_id", width).select(F.col("item_id").alias("s_item"), F.col("pos").alias("i_pos"), "h", F.col("f").alias("i_f"))
     with_slots = items.where(F.exists("i_f", lambda x: x.isNotNull())).select("s_item").distinct()
     pairs = found.join(with_slots, F.col("item_id").eqNullSafe(F.col("s_item"))).select("doc_id", "s_item").distinct()
@@ -99,10 +105,13 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, found: DataFrame, width:
     own = fillers(own, "doc_id", width).withColumnRenamed("doc_id", "s_doc")
     cells = own.join(pairs, F.col("s_doc").eqNullSafe(F.col("doc_id"))).drop("doc_id").join(items, ["s_item", "h"])
     both = F.filter(F.zip_with("i_f", "f", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull())
-    lines = cells.groupBy("s_doc", "s_item", (F.col("pos") - F.col("i_pos")).alias("diagonal")).agg(F.collect_set("h").alias("at"), F.array_distinct(F.flatten(F.collect_set(both))).alias("pairs"))
-    size = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    good = F.when((size("a") == F.size("pairs")) & (size("b") == F.size("pairs")), F.col("at")).otherwise(F.array().cast("array<bigint>"))
-    return lines.groupBy("s_doc", "s_item").agg(F.size(F.array_distinct(F.flatten(F.collect_set(good)))).alias("s_hits"))
+    cells = cells.select("s_doc", "s_item", "h", "pos", (F.col("pos") - F.col("i_pos")).alias("diagonal"), F.array_distinct(both).alias("pairs"))
+    line, a, b = ["s_doc", "s_item", "diagonal"], F.col("pair.a"), F.col("pair.b")
+    slots = cells.select("*", F.explode_outer("pairs").alias("pair")).withColumn("votes", F.count("*").over(W.partitionBy(*line, a, b)))
+    slots = slots.withColumn("first", F.max(F.struct("votes", a == b, b)).over(W.partitionBy(*line, a))["b"] == b)
+    slots = slots.withColumn("agrees", F.col("first") & (F.max(F.when(F.col("first"), F.struct("votes", a == b, a))).over(W.partitionBy(*line, b))["a"] == a))
+    held = slots.groupBy(*line, "pos", "h", "pairs").agg((F.bool_and(F.coalesce("agrees", F.lit(False))) | F.bool_and(F.coalesce(a == b, F.lit(True)))).alias("good"))
+    return held.groupBy("s_doc", "s_item").agg(F.count_distinct(F.when(F.col("good"), F.col("h"))).alias("s_hits"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

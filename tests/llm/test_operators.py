@@ -132,6 +132,17 @@ def test_decontamination_follows_slots(spark):
     assert [r.doc_id for r in decontaminate.contaminated(docs, bench).collect()] == [1]
 
 
+def test_clash_costs_only_its_windows(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra") for b in ("ba", "de", "fi", "go", "hu", "ja", "ke", "la", "mo", "ne")]
+    item = " ".join([*words[:10], "12", *words[10:30], "12", *words[30:45], "7", *words[45:]])
+    edited, merged = item.replace("12", "13", 1), item.replace("12", "7", 1)
+    moved = item.replace("12", "40").replace("7", "41")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate((item, edited, merged, moved, item.replace("12", "7")))), "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.hits) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {0: (59, 59), 1: (59, 54), 2: (59, 54), 3: (59, 59), 4: (59, 59)}
+
+
 def test_mixing(docs, rows):
     size = {r[0]: len((r[1] or "").split()) for r in rows}
     out = source_mixing.mix_sources(docs).collect()
