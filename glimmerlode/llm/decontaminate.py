@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows. DataFrame functions only.
 
-Texts become templates: numbers, names and units turn into typed placeholders, other words into lower case. Windows
-of WINDOW template tokens of the benchmark meet those of the documents in a hash join; the benchmark side is broadcast
+Texts become templates: runs of white space turn into one space, numbers, names and units into typed placeholders,
+other words into lower case. A window of WINDOW tokens of the benchmark is held if its template or its plain lower-case
+words are in the document, so a copy in other case or line breaks is met too. Windows meet in a hash join; the benchmark side is broadcast
 only while its counted rows stay under BROADCAST_ROWS. A document is a candidate for an item if the distinct windows
 of the item that it holds are at least SIMILARITY of the item's windows. Candidates whose item has slots are read
 again with the fillers of their slots: matches are grouped by diagonal (document position minus item position), whose
@@ -29,6 +30,8 @@ NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 NAME = r"(?<=[\p{Ll}\p{N}][,;:]? )\p{Lu}\p{Ll}+(?![\p{L}\p{M}\p{N}])"
 #: Placeholders from the private use area: number, unit, name.
 NUM, UNIT, PERSON = "\ue000", "\ue001", "\ue002"
+#: White space (any of Unicode) other than one space, and placeholders of the text itself.
+SPACES = r"[\s\x{85}\p{Z}\ue000-\ue002]{2,}|[\s\x{85}\p{Z}\ue000-\ue002&&[^ ]]"
 WORD = r"[\p{L}\p{M}\ue000-\ue002]+"
 
 
@@ -38,14 +41,22 @@ def _held(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(made)).alias("_held")).select(*[c for c in rows.columns if c not in columns], *[F.col(f"_held.{n}").alias(n) for n in columns])
 
 
-def template(text: Column) -> Column:
-    """Array of template tokens. A name is a capitalised word after a lower-case one; a unit follows a number."""
-    plain = F.regexp_replace(text, f"[{NUM}{UNIT}{PERSON}]", " ")
-    names = F.regexp_replace(plain, NAME, PERSON)
+def _marked(clean: Column) -> Column:
+    """Clean text with its placeholders. A name is a capitalised word after a lower-case one; a unit follows a number."""
+    names = F.regexp_replace(clean, NAME, PERSON)
     numbers = F.regexp_replace(names, NUMBER, f" {NUM} ")
     units = F.regexp_replace(numbers, f"(?<={NUM} {{1,2}})(?i:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{M}}])", UNIT)
-    marked = F.when(text.rlike(r"\p{N}"), units).otherwise(names)
-    return F.regexp_extract_all(F.lower(marked), F.lit(WORD), F.lit(0))
+    return F.when(clean.rlike(r"\p{N}"), units).otherwise(names)
+
+
+def tokens(rows: DataFrame, key: str) -> DataFrame:
+    """key, template tokens t and at the same positions plain lower-case words w (null where the text has no slot)."""
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACES, " ")
+    made = _held(rows.select(F.col(key), "text"), text=text)
+    made = _held(made, marked=_marked(F.col("text")))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(NUMBER + r"|[\p{L}\p{M}]+"), F.lit(0))
+    made = made.select(key, F.regexp_extract_all(F.lower("marked"), F.lit(WORD), F.lit(0)).alias("t"), F.when(F.col("marked").rlike(f"[{NUM}{UNIT}{PERSON}]"), words).alias("w"))
+    return _held(made, t=F.col("t"), w=F.col("w")).where(F.size("t") > 0)
 
 
 def _hash(tokens: str, i: Column, width: int) -> Column:
@@ -54,33 +65,29 @@ def _hash(tokens: str, i: Column, width: int) -> Column:
 
 
 def windows(rows: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
-    """One row per window: key, n (the text's windows), pos and hash h."""
-    made = _held(rows.select(F.col(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), text=template(F.col("text")))
-    made = made.where(F.size("text") > 0)
-    n = F.greatest(F.size("text") - (width - 1), F.lit(1))
-    hashes = F.transform(F.slice("text", 1, n), lambda x, i: _hash("text", i, width))
-    return made.select(key, n.alias("n"), F.posexplode(hashes).alias("pos", "h"))
+    """key and hash k of every window, as template and, where that differs, as plain words."""
+    n = F.greatest(F.size("t") - (width - 1), F.lit(1))
+    hashes = lambda side: F.transform(F.slice("t", 1, n), lambda x, i: _hash(side, i, width))
+    return tokens(rows, key).select(key, F.explode(F.when(F.col("w").isNull(), hashes("t")).otherwise(F.array_distinct(F.concat(hashes("t"), hashes("w"))))).alias("k"))
 
 
 def fillers(rows: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
-    """One row per window with slots: key, pos, hash h and the array f of its fillers (null where there is no slot)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    made = _held(rows.select(F.col(key), text.alias("text")), t=template(F.col("text")), raw=F.regexp_extract_all(F.regexp_replace("text", f"[{NUM}{UNIT}{PERSON}]", " "), F.lit(NUMBER + r"|[\p{L}\p{M}]+"), F.lit(0)))
-    made = _held(made.drop("text"), f=F.zip_with("t", "raw", lambda t, w: F.when(t.isin(NUM, UNIT, PERSON), F.lower(w))))
+    """One row per window: key, pos, hash h of the template, q of the words, and the array f of fillers (null where there is no slot)."""
+    made = _held(tokens(rows, key), w=F.coalesce("w", "t"))
+    made = _held(made, f=F.zip_with("t", "w", lambda t, w: F.when(t.isin(NUM, UNIT, PERSON), w)))
     n = F.greatest(F.size("t") - (width - 1), F.lit(1))
-    cells = F.transform(F.slice("t", 1, n), lambda x, i: F.struct(_hash("t", i, width).alias("h"), F.array(*[F.get("f", i + k) for k in range(width)]).alias("f")))
-    out = made.where(F.size("t") > 0).select(key, F.posexplode(cells).alias("pos", "c"))
-    return out.select(key, "pos", "c.h", "c.f")
+    cells = F.transform(F.slice("t", 1, n), lambda x, i: F.struct(_hash("t", i, width).alias("h"), _hash("w", i, width).alias("q"), F.array(*[F.get("f", i + k) for k in range(width)]).alias("f")))
+    return made.select(key, F.posexplode(cells).alias("pos", "c")).select(key, "pos", "c.h", "c.q", "c.f")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, width: int = WINDOW) -> DataFrame:
     """doc_id, item_id, hits, n_windows and similarity of every contaminated document and item."""
-    items = windows(benchmark.select("item_id", "text"), "item_id", width)
-    items = items.groupBy("item_id", "n", "h").agg(F.count("*").alias("times")).withColumn("n_windows", F.count("*").over(W.partitionBy("item_id")))
-    items = materialize(items.select("item_id", "n_windows", "h"), "bench-windows")
+    items = fillers(benchmark.select("item_id", "text"), "item_id", width).groupBy("item_id", "h").agg(F.collect_set("q").alias("qs"))
+    items = items.withColumn("n_windows", F.count("*").over(W.partitionBy("item_id")))
+    items = materialize(items.select("item_id", "n_windows", "h", F.explode(F.array_distinct(F.concat(F.array("h"), "qs"))).alias("k")), "bench-windows")
     small = items.count() <= BROADCAST_ROWS
     near = F.broadcast(items) if small else items
-    met = windows(docs.select("doc_id", "text"), "doc_id", width).select("doc_id", "h").join(near, "h")
+    met = windows(docs.select("doc_id", "text"), "doc_id", width).join(near, "k").drop("k")
     hits = met.distinct().groupBy("doc_id", "item_id", "n_windows").agg(F.count("*").alias("hits"))
     found = materialize(hits.where(F.col("hits") >= similarity * F.col("n_windows")), "bench-hits")
     slotted = _consistent(docs, benchmark, found, width)
@@ -93,25 +100,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def _consistent(docs: DataFrame, benchmark: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """s_doc, s_item, s_hits: for candidates whose item has slots, the distinct windows whose fillers hold.
 
-    These are windows without slots, with the same fillers on both sides, or whose fillers all follow their diagonal's
+    These are windows with the same words on both sides, or whose fillers all follow their diagonal's
     mapping: each item filler goes to the document filler it meets in most windows, and of item fillers that then share
     a document filler the one with most windows keeps it.
     """
-    items = fillers(benchmark.select("item_id", "text"), "item_id", width).select(F.col("item_id").alias("s_item"), F.col("pos").alias("i_pos"), "h", F.col("f").alias("i_f"))
+    items = fillers(benchmark.select("item_id", "text"), "item_id", width).select(F.col("item_id").alias("s_item"), F.col("pos").alias("i_pos"), "h", "q", F.col("f").alias("i_f"))
     with_slots = items.where(F.exists("i_f", lambda x: x.isNotNull())).select("s_item").distinct()
     pairs = found.join(with_slots, F.col("item_id").eqNullSafe(F.col("s_item"))).select("doc_id", "s_item").distinct()
     wanted = pairs.select(F.col("doc_id").alias("w_doc")).distinct()
     own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi")
     own = fillers(own, "doc_id", width).withColumnRenamed("doc_id", "s_doc")
-    cells = own.join(pairs, F.col("s_doc").eqNullSafe(F.col("doc_id"))).drop("doc_id").join(items, ["s_item", "h"])
+    own = own.join(pairs, F.col("s_doc").eqNullSafe(F.col("doc_id"))).drop("doc_id")
+    said = own.select("s_doc", "s_item", "q").distinct().join(items, ["s_item", "q"]).select("s_doc", "s_item", "h", F.lit(True).alias("good"))
+    cells = own.drop("q").join(items.drop("q"), ["s_item", "h"])
     both = F.filter(F.zip_with("i_f", "f", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull())
     cells = cells.select("s_doc", "s_item", "h", "pos", (F.col("pos") - F.col("i_pos")).alias("diagonal"), F.array_distinct(both).alias("pairs"))
     line, a, b = ["s_doc", "s_item", "diagonal"], F.col("pair.a"), F.col("pair.b")
     slots = cells.select("*", F.explode_outer("pairs").alias("pair")).withColumn("votes", F.count("*").over(W.partitionBy(*line, a, b)))
     slots = slots.withColumn("first", F.max(F.struct("votes", a == b, b)).over(W.partitionBy(*line, a))["b"] == b)
     slots = slots.withColumn("agrees", F.col("first") & (F.max(F.when(F.col("first"), F.struct("votes", a == b, a))).over(W.partitionBy(*line, b))["a"] == a))
-    held = slots.groupBy(*line, "pos", "h", "pairs").agg((F.bool_and(F.coalesce("agrees", F.lit(False))) | F.bool_and(F.coalesce(a == b, F.lit(True)))).alias("good"))
-    return held.groupBy("s_doc", "s_item").agg(F.count_distinct(F.when(F.col("good"), F.col("h"))).alias("s_hits"))
+    held = slots.groupBy(*line, "pos", "h", "pairs").agg(F.bool_and(F.coalesce("agrees", F.lit(False))).alias("good")).select("s_doc", "s_item", "h", "good")
+    return held.unionByName(said).groupBy("s_doc", "s_item").agg(F.count_distinct(F.when(F.col("good"), F.col("h"))).alias("s_hits"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -143,6 +144,18 @@ def test_clash_costs_only_its_windows(spark):
     assert got == {0: (59, 59), 1: (59, 54), 2: (59, 54), 3: (59, 59), 4: (59, 59)}
 
 
+def test_decontamination_in_other_case_and_space(spark):
+    item = "in the morning Alice met Robert, and then Carol told David that Erika saw Felix near Oslo while Greta asked Henry about 3 boats"
+    wrapped = "\n".join(textwrap.wrap(item, 20))
+    copies = [item, item.lower(), item.upper(), item.replace(" ", "  "), wrapped, item.replace(" ", "\u00a0"), item.replace("3", "8")]
+    other = item.replace("Alice", "Zoe").replace("Henry", "Igor")
+    bench = spark.createDataFrame([(1, item), (2, item.lower() + " again")], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate([*copies, other]), (90, "in the evening nobody met anyone, and then it rained")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {k: got.get((k, 1)) for k in range(8)} == dict.fromkeys(range(8), 1.0)
+    assert {k for k, i in got if i == 2} == {0, 1, 2, 3, 4, 5, 6} and (90, 1) not in got
+
+
 def test_mixing(docs, rows):
     size = {r[0]: len((r[1] or "").split()) for r in rows}
     out = source_mixing.mix_sources(docs).collect()
