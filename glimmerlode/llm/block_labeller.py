@@ -114,7 +114,7 @@ def _word_id(word: str) -> int:
 def encode_page(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
     """Path ids, word ids and measures of each block."""
     paths = [_path_ids(tuple(b.path)) for b in blocks]
-    words = [[_word_id(w) for w in b.text.split(None, 16)[:16]] for b in blocks]
+    words = [[_word_id(w) for w in b.text.split()] for b in blocks]
     n = max(1, len(blocks))
     rows = []
     for i, b in enumerate(blocks):

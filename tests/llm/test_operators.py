@@ -192,3 +192,10 @@ def test_block_labeller_on_held_out_pages():
             marks = model.label([block_labeller.encode_page(found)])[0]
             good, total = good + int((marks == np.array(labels, bool)).sum()), total + len(labels)
     assert good / total > 0.97
+
+
+def test_every_word_of_a_block_is_hashed():
+    start = " ".join(f"w{i}" for i in range(40))
+    blocks = [block_labeller.Block([], f"{start} {end}", 0) for end in ("cookie notice", "advert comment")]
+    words = block_labeller.encode_page(blocks)[1]
+    assert [len(w) for w in words] == [42, 42] and words[0][:40] == words[1][:40] and words[0][40:] != words[1][40:]
