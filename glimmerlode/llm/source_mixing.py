@@ -5,16 +5,15 @@ token constraint of every source, entropy balancing picks the one closest to one
 entropy weighted by document size). The dual of that problem has one multiplier per source and its
 gradient needs the tilted token sums only, so each Newton step reads a partial aggregate, not rows.
 Rates are exp(multiplier); they become whole copies by a hash threshold per source that is resolved
-over two histogram levels, and the rest of the error is closed by moving a few documents by one copy.
+over two histogram levels. The rest of the error is closed over counts of documents by size: the longest that fit go
+first, then the one move that overshoots least, until no move of one document by one copy brings a source closer.
 
 Defined cases: null text has size 0; size 0 is never taken; null source is one source, last in order;
-rows that repeat a doc_id share its hash, hence their copies; an empty table gives an empty result.
+rows that repeat a doc_id share its hash, hence their copies, and move together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -23,7 +22,6 @@ from .common import WORD_RE, materialize
 MAX_RATE = 3
 NEWTON_STEPS = 64
 BINS = 4096
-REPAIRS = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_rate: int = MAX_RATE) -> DataFrame:
@@ -83,26 +81,75 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_rate:
     return _repair(taken, max_rate)
 
 
+def close_gap(gap: float, counts: dict[int, list[int]]) -> dict[int, list[int]]:
+    """Counts after the moves. counts: by size, how many documents have 0, 1, ... copies; a gap above 0 asks for copies."""
+    now = {size: list(n) for size, n in sorted(counts.items(), reverse=True)}
+
+    def move(size: int, most: int) -> int:
+        """Move up to most copies of documents of one size, first those that have the fewest (to remove: the most)."""
+        n, left, up = now[size], most, gap > 0
+        for c in range(len(n) - 1) if up else range(len(n) - 1, 0, -1):
+            k = min(n[c], left)
+            n[c], n[c + (1 if up else -1)], left = n[c] - k, n[c + (1 if up else -1)] + k, left - k
+        return most - left
+
+    while gap:
+        for size in now:
+            k = move(size, int(abs(gap) // size))
+            gap -= k * size if gap > 0 else -k * size
+        over = [size for size, n in now.items() if size < 2 * abs(gap) and sum(n[:-1] if gap > 0 else n[1:])]
+        if not over:
+            break
+        move(min(over), 1)
+        gap -= min(over) if gap > 0 else -min(over)
+    return now
+
+
+def _ranges(before: list[int], after: list[int]) -> list[tuple[int, int, int, int]]:
+    """copies, new copies, and the first and last rank by hash of those that get them; order by copies is kept."""
+    out, a, b = [], 0, 0
+    was, will, rank = list(before), list(after), 0
+    while a < len(was) and b < len(will):
+        k = min(was[a], will[b])
+        if k and a != b:
+            out.append((a, b, rank + 1, rank + k))
+        was[a], will[b], rank = was[a] - k, will[b] - k, rank + k
+        if not was[a]:
+            a, rank = a + 1, 0
+        else:
+            b += 1
+    return out
+
+
 def _repair(taken: DataFrame, max_rate: int) -> DataFrame:
-    """Close what rounding left: each pass moves one document per source by one copy, if that helps."""
-    moves: list[DataFrame] = []
-    for _ in range(REPAIRS):
-        now = reduce(lambda d, m: _apply(d, m, max_rate), moves, taken)
-        gap = now.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
-        gap = gap.withColumnRenamed("source", "_s")
-        open_rows = now.join(gap, F.col("source").eqNullSafe(F.col("_s")))
-        free = F.when(F.col("gap") > 0, F.col("copies") < max_rate).otherwise(F.col("copies") > 0)
-        left = F.abs(F.abs("gap") - F.col("size"))
-        helps = open_rows.where(free & (F.col("size") > 0) & (left < F.abs("gap")))
-        best = helps.groupBy("source").agg(F.min(F.struct(left.alias("l"), "doc_id", F.signum("gap").cast("long").alias("d"))).alias("m"))
-        moves.append(materialize(best.select(F.col("source").alias("m_source"), F.col("m.doc_id").alias("m_doc"), F.col("m.d").alias("m_step")), "mix-move"))
-    return reduce(lambda d, m: _apply(d, m, max_rate), moves, taken).withColumn("taken", F.col("size") * F.col("copies"))
-
-
-def _apply(now: DataFrame, move: DataFrame, max_rate: int) -> DataFrame:
-    out = now.join(move, (F.col("doc_id") == F.col("m_doc")) & F.col("source").eqNullSafe(F.col("m_source")), "left")
-    step = F.greatest(F.least(F.col("copies") + F.coalesce("m_step", F.lit(0)), F.lit(max_rate)), F.lit(0))
-    return out.withColumn("copies", step).drop("m_source", "m_doc", "m_step")
+    """Close what rounding left. The driver reads counts by size, of sizes under twice their source's gap."""
+    cell = ["source", "size", "copies"]
+    gap = taken.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
+    units = taken.where("size > 0").groupBy("source", "doc_id").agg(F.sum("size").alias("size"), F.max("copies").cast("int").alias("copies"))
+    units = units.join(F.broadcast(gap.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).where(F.col("size") < 2 * F.abs("gap"))
+    units = materialize(units.select(*cell, "doc_id", "gap", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(BINS)).cast("int").alias("bin")), "mix-units")
+    found: dict = {}
+    for r in units.groupBy(*cell).agg(F.max("gap").alias("gap"), F.count("*").alias("n")).collect():
+        found.setdefault(r.source, (r.gap, {}))[1].setdefault(r["size"], [0] * (max_rate + 1))[r.copies] += r.n
+    moves = []
+    for source, (left, counts) in found.items():
+        after = close_gap(left, counts)
+        moves += [(source, size, *m) for size, n in counts.items() for m in _ranges(n, after[size])]
+    spark = taken.sparkSession
+    kind = taken.schema["source"].dataType.simpleString()
+    plan = F.broadcast(spark.createDataFrame(moves, f"m_source {kind}, m_size long, m_copies int, new int, lo long, hi long"))
+    same = F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (F.col("copies") == F.col("m_copies"))
+    some = units.join(F.broadcast(plan.select("m_source", "m_size", "m_copies").distinct()), same, "left_semi")
+    bins = some.groupBy(*cell, "bin").agg(F.count("*").alias("n"))
+    bins = bins.withColumn("below", F.sum("n").over(W.partitionBy(*cell).orderBy("bin")) - F.col("n"))
+    ranked = some.withColumn("r", F.row_number().over(W.partitionBy(*cell, "bin").orderBy("doc_id")))
+    bins = bins.select(*[F.col(c).alias(f"b_{c}") for c in (*cell, "bin")], "below")
+    ranked = ranked.join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("copies") == F.col("b_copies")) & (F.col("bin") == F.col("b_bin")))
+    moved = ranked.withColumn("r", F.col("r") + F.col("below")).join(plan, same & F.col("r").between(F.col("lo"), F.col("hi")))
+    moved = materialize(moved.select(F.col("source").alias("m_source"), F.col("doc_id").alias("m_doc"), "new"), "mix-moves")
+    out = taken.join(moved, F.col("doc_id").eqNullSafe(F.col("m_doc")) & F.col("source").eqNullSafe(F.col("m_source")), "left")
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.coalesce(F.col("new").cast("long"), "copies")).otherwise(F.col("copies")))
+    return out.drop("m_source", "m_doc", "new").withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
