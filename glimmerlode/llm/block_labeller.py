@@ -94,7 +94,7 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[i][0] not in INLINE:
                         break
             words = [w for a in _ATTR.finditer(m[4]) for w in re.split(r"[^a-zA-Z]+", a[2] or a[3] or a[4] or "") if w] if "=" in m[4] else []
-            stack.append((tag, (f"<{tag}", *(f".{w.lower()}" for w in words[:6]))))
+            stack.append((tag, (f"<{tag}", *(f".{w.lower()}" for w in words))))
             links += tag == "a"
     text(page[at:])
     flush()
@@ -226,9 +226,12 @@ class Labeller:
 OUTSIDE = "ad ads advert advertisement sponsor promo sidebar side widget comment comments reply respond discussion cookie consent gdpr notice alert banner popup modal menu nav navbar navigation breadcrumb header masthead topbar footer bottom copyright legal share social related recommended newsletter subscribe signup login search form tags meta pagination skip toolbar".split()
 INSIDE = "content main article post entry story body text page wrapper container prose section markdown".split()
 
+#: Layout words of classes, as utility style sheets have them; they say nothing of a block.
+LAYOUT = "mt-4 mb-2 mx-auto px-2 py-3 p-4 text-sm text-lg font-bold flex items-center justify-between grid gap-4 col-6 row w-full h-64 max-w-xl bg-white border rounded shadow hidden md:block lg:flex relative absolute top-0 z-10 overflow-auto float-left leading-6 space-y-2".split()
+
 
 def synthetic_page(r: random.Random) -> tuple[str, list[int]]:
-    """A page and the labels of its blocks in order."""
+    """A page and the labels of its blocks in order; some classes stand among layout words."""
     word = lambda: "".join(r.choice(("an", "er", "the", "on", "re", "in", "ou", "ti", "é", "ü", "sch", "la", "ci")) for _ in range(r.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     sentence = lambda a=4, b=60: words(a, b).capitalize() + "."
@@ -239,7 +242,12 @@ def synthetic_page(r: random.Random) -> tuple[str, list[int]]:
         return text
 
     def attrs(pool: list[str]) -> str:
-        return f' {r.choice(("class", "class", "id"))}="{" ".join(r.sample(pool, 1) + ([word()] if r.random() < 0.2 else []))}"'
+        names = r.sample(pool, 1) + ([word()] if r.random() < 0.2 else [])
+        if r.random() < 0.3:
+            names = r.sample(LAYOUT, r.randint(1, 10)) + names
+            if r.random() < 0.3:
+                r.shuffle(names)
+        return f' {r.choice(("class", "class", "id"))}="{" ".join(names)}"'
 
     def outside(sort: str) -> str:
         if sort == "nav":

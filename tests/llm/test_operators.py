@@ -226,3 +226,12 @@ def test_every_word_of_a_block_is_hashed():
     blocks = [block_labeller.Block([], f"{start} {end}", 0) for end in ("cookie notice", "advert comment")]
     words = block_labeller.encode_page(blocks)[1]
     assert [len(w) for w in words] == [42, 42] and words[0][:40] == words[1][:40] and words[0][40:] != words[1][40:]
+
+
+def test_every_class_word_enters_the_path():
+    layout = "mt-4 px-2 py-3 text-sm flex items-center"
+    page = f'<body><article><p>{"the main text of the page. " * 9}</p></article><div class="{layout} sidebar" id="more" role="complementary"><p>{"other things to read here. " * 6}</p></div></body>'
+    path = block_labeller.blocks_of(page)[1].path
+    assert [t for t in path if t[0] == "."] == [f".{w}" for w in "mt px py text sm flex items center sidebar more complementary".split()]
+    model = block_labeller.train()
+    assert model.label([block_labeller.encode_page(block_labeller.blocks_of(page))])[0].tolist() == [True, False]
