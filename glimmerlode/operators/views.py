@@ -53,13 +53,14 @@ def ui_symbols() -> list[str]:
     return ["CreateWindowExW", "DialogBoxParamW", "DispatchMessageW", "TranslateMessage", "GetMessageW", "DefWindowProcW", "LoadCursorW", "LoadIconW", "BeginPaint", "EndPaint", "DrawTextW", "ShowWindow", "UpdateWindow", "CreateDialogParamW", "ChooseFontW", "PageSetupDlgW", "PrintDlgExW", "GetOpenFileNameW", "GetSaveFileNameW", "MessageBoxW"]
 
 
-def context_features(symbols: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Feature row for benign contexts from the import surface and the functions."""
+def context_features(symbols: DataFrame, enriched: DataFrame, interesting: DataFrame) -> DataFrame:
+    """Feature row for benign contexts from the import surface, the functions and the interesting strings."""
     from ..functions.columns import canonical
 
     s = symbols.select("sample_id", "symbol", canonical(F.col("symbol")).alias("c")).groupBy("sample_id").agg(
         F.count_distinct(F.when(F.col("c").isin(ui_symbols()), F.col("c"))).alias("ui"), F.count("*").alias("syms"), F.count_distinct(F.when(F.col("c").isin("LoadLibrary", "GetProcAddress"), F.col("c"))).alias("ldr"), F.count_distinct(F.when(F.col("c").isin("CreateFile", "ReadFile", "WriteFile"), F.col("c"))).alias("io"))
     role = lambda r: F.count_if(F.array_contains("roles", r))
     f = enriched.groupBy("sample_id").agg(F.count_if(F.col("score") >= 35).alias("hi"), F.count_if(F.col("score") >= 15).alias("med"), role("persistence").alias("per"), role("anti_analysis").alias("anti"), role("injection").alias("inj"), role("network").alias("net"))
-    rows = f.join(s, "sample_id", "left").withColumn("ms", F.lit(0)).withColumn("bs", F.lit(0))
-    return rows.fillna(0, ["ui", "syms", "ldr", "io"])
+    said = interesting.groupBy(F.col("sample_id").cast("string").alias("_s")).agg(F.count_if(F.lower("value").contains("microsoft.com")).alias("ms"), F.count_if("benign_hint").alias("bs"))
+    rows = f.join(s, "sample_id", "left").join(said, F.col("sample_id").cast("string") == F.col("_s"), "left").drop("_s")
+    return rows.fillna(0, ["ui", "syms", "ldr", "io", "ms", "bs"])

@@ -260,7 +260,8 @@ cx AS (SELECT ff.*, coalesce(ui, 0) AS ui, coalesce(syms, 0) AS syms, coalesce(l
 @query(f"""WITH {O.FACTS}, {_CTX}, l AS (SELECT sample_id, list_filter([CASE WHEN ui >= 8 AND syms > 120 THEN 'rich_windows_gui_context' END, CASE WHEN io >= 2 AND ui >= 5 THEN 'desktop_app_file_io_context' END, CASE WHEN per BETWEEN 1 AND 3 AND inj = 0 AND net = 0 THEN 'weak_persistence_signal' END, CASE WHEN anti_x BETWEEN 1 AND 3 AND hi = 0 THEN 'weak_anti_analysis_signal' END, CASE WHEN hi = 0 THEN 'no_high_risk_functions' END, CASE WHEN ui >= 10 AND syms >= 150 THEN 'microsoft_desktop_app_profile' END, CASE WHEN inj = 0 AND net = 0 AND hi = 0 AND per + anti_x > 0 THEN 'soft_capability_only_profile' END], lambda x: x IS NOT NULL) AS c FROM cx)
 SELECT sample_id, array_to_string(c, ',') AS contexts, CAST(coalesce(list_sum(list_transform(c, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN {v}" for k, v in rules.BENIGN_CONTEXTS.items())} END)), 0) AS BIGINT) AS adjustment FROM l""")
 def benign_contexts(spark, sf):
-    return scoring.benign_contexts(views.context_features(bind.symbols(spark, sf), enriched(spark, sf))).select("sample_id", text("contexts").alias("contexts"), big("adjustment"))
+    found = strings.top_strings(strings.score_strings(bind.strings(spark, sf)))
+    return scoring.benign_contexts(views.context_features(bind.symbols(spark, sf), enriched(spark, sf), found)).select("sample_id", text("contexts").alias("contexts"), big("adjustment"))
 
 
 def judged(spark, sf):
