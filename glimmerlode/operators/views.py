@@ -40,7 +40,7 @@ def ranked_apis(apis: DataFrame) -> DataFrame:
 
 
 def top_indicators(capabilities: DataFrame, apis: DataFrame, functions: DataFrame, k: int = 12) -> DataFrame:
-    """Up to five of each kind, in block order, at most k a sample."""
+    """Up to five capabilities, APIs and functions, in block order, at most k a sample; strings are not built yet."""
     w = W.partitionBy("sample_id")
     part = lambda df, block, text, by: df.withColumn("r", F.row_number().over(w.orderBy(F.desc(by), "name"))).where("r <= 5").select("sample_id", F.lit(block).alias("block"), "r", text.alias("indicator"))
     said = lambda kind, by: F.concat(F.lit(f"{kind}:"), "name", F.lit(" (+"), F.col(by).cast("string"), F.lit(")"))
