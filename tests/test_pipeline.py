@@ -1,0 +1,67 @@
+"""All stages of the corpus pipeline against brute force, with null, empty and repeated rows."""
+
+import random
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+from glimmerlode.llm import token_files
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def windows(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
+def fixture():
+    r = random.Random(11)
+    words = ["".join(r.choice(("an", "er", "on", "re", "in", "ti", "la", "so")) for _ in range(r.randint(2, 4))) for _ in range(400)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [say(25) for _ in range(3)]
+    good = [say(r.randint(40, 90)) for _ in range(60)]
+    good += [f"{g} {say(2)}" for g in good[:8]] + [good[9], f"{say(20)} {items[0]} {say(20)}", f"{say(5)} {items[1]}", items[2] + " " + say(30)]
+    rows = [(i, t, "abc"[i % 3]) for i, t in enumerate(good)] + [(200 + i, "SPAM!! WIN!! " * r.randint(3, 9) + str(i), "abc"[i % 3]) for i in range(60)]
+    rows += [(300, None, "a"), (301, "", "b"), (302, "   ", None), (None, say(60), "a")]
+    labels = [(k, int(k < 200), 0) for k, _, _ in rows if k is not None and k < 300]
+    return rows, labels, [*enumerate(items), (9, None), (10, "")]
+
+
+def test_stages_match_brute_force(spark, tmp_path):
+    rows, labels, items = fixture()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, got = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(out := f"{tmp_path}/out{len(got)}")
+        docs = spark.read.parquet(out)
+        got.append(docs.collect())
+    text = {k: t for k, t, _ in rows}
+    ids = [sorted(r.doc_id for r in g if r.doc_id is not None) for g in got]
+    assert ids[0] == sorted(k for k in text if k is not None and k < 200)
+    up = {k: k for k in ids[0]}
+    for a in up:
+        for b in up:
+            x, y = windows(text[a]), windows(text[b])
+            if a < b and len(x & y) >= 0.8 * len(x | y):
+                up = {k: min(up[a], up[b]) if v in (up[a], up[b]) else v for k, v in up.items()}
+    assert ids[1] == sorted({*up.values()}) and len(ids[1]) < len(ids[0])
+    held = lambda t: any(windows(i) and len(windows(i) & windows(t)) >= 0.8 * len(windows(i)) for _, i in items)
+    assert ids[2] == [k for k in ids[1] if not held(text[k])] and len(ids[2]) == len(ids[1]) - 3
+    assert [sum(r.doc_id is None for r in g) for g in got[:3]] == [1, 1, 1]
+    size, taken = defaultdict(int), defaultdict(int)
+    for r in got[2]:
+        size[r.source] += len(r.text.split())
+    for r in got[3]:
+        taken[r.source] += len(r.text.split())
+    assert {r.doc_id for r in got[3]} <= {r.doc_id for r in got[2]} and max(Counter(r.doc_id for r in got[3]).values()) <= 3
+    for weight, s in enumerate("abc", 1):
+        assert abs(taken[s] - sum(size.values()) * weight / 6) <= 45
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.default_tokenizer(spark))
+    want = Counter((r.doc_id, len(t.encode(r.text, add_special_tokens=False).ids) + 1) for r in got[3])
+    assert Counter((r.doc_id, r.n_tokens) for r in got[4]) == want
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in whole) == want
