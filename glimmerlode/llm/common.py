@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,31 +19,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIR: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is set."""
+    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='glimmerlode-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _OWN_DIR.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='glimmerlode-')}")
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries inside remove their shuffle files as they end; for those whose result is stored."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, was)
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that outlive executors."""
+    """Write df to the shared folder and read it back: lineage ends at files that outlive executors, its shuffles go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with shuffles_dropped(spark):
+        writer = df.select("*").write.option("compression", "zstd")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind materialized tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def squeeze(text: str | None) -> bytes:

@@ -69,25 +69,45 @@ def test_jaccard_components(docs, rows):
     assert got == {k: (len(v), top(k)) for k, v in s.items()}
 
 
-def test_repeated_spans(docs, rows):
-    texts = {r[0]: (r[1] or "").encode() for r in rows}
-    seen = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
-    for g in repeated_spans.remove_repeats(docs).collect():
-        t = texts[g.doc_id]
+def check_spans(spark, texts, length=400, crowd=512):
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
+    got = repeated_spans.remove_repeats(df, length, crowd).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == list(range(len(texts)))
+    for g in got:
+        t = texts[g.doc_id] if g.doc_id is not None else b""
         gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
         kept = bytes(c for c, m in zip(t, gone, strict=True) if not m)
-        assert (g.n_bytes, g.n_removed, g.kept_sha256) == (len(t), sum(gone), hashlib.sha256(kept).hexdigest())
+        spans = len(bytes(gone).replace(b"\0", b" ").split())
+        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return sum(g.n_removed for g in got)
 
 
-def test_suffix_array():
+def test_repeated_spans(spark, rows):
+    assert check_spans(spark, [(r[1] or "").encode() for r in rows]) > 0
+
+
+def test_repeated_spans_of_crowds_and_periods(spark):
+    r = random.Random(8)
+    letters = lambda k: "".join(r.choice("abcdefghij") for _ in range(k))
+    passage = letters(90)
+    texts = [letters(r.randint(0, 30)) + (x := r.choice(("", "k", "kl"))) + passage[r.choice((0, 0, 3)) :] + x + letters(r.randint(0, 30)) for _ in range(40)]
+    texts += ["ab" * 100, "xyz" * 30, texts[0], texts[1], "", passage, letters(30) + "é" * 60]
+    for crowd in (2, 7, 512):
+        assert check_spans(spark, [t.encode() for t in texts], 40, crowd) > 3000
+
+
+def test_suffix_array(monkeypatch):
     r = random.Random(1)
-    for _ in range(60):
-        b = bytes(r.randrange(3) for _ in range(r.randint(1, 90)))
-        t = np.frombuffer(b, np.uint8).astype(np.uint16)
-        assert suffix_array.suffix_array(t, 256).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    for small in (1024, 4):
+        monkeypatch.setattr(suffix_array, "SMALL_ALPHABET", small)
+        for _ in range(60):
+            b = bytes(r.randrange(3) for _ in range(r.randint(1, 90))) if r.random() < 0.8 else bytes([1, 2, 2]) * r.randint(1, 40)
+            t = np.frombuffer(b, np.uint8).astype(np.uint16)
+            assert suffix_array.suffix_array(t, 256).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
 
 
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 5000])
