@@ -19,8 +19,8 @@ def canonical(api: Column) -> Column:
 
 def weight(api: Column) -> Column:
     """Weight of a raw name, else of its canonical name, else null."""
-    table = lambda c: reduce(lambda acc, kv: acc.when(c == kv[0], kv[1]), list(rules.API_WEIGHTS.items())[1:], F.when(c == "VirtualAlloc", rules.API_WEIGHTS["VirtualAlloc"]))
-    return F.coalesce(table(api), table(canonical(api)))
+    table = F.create_map(*[F.lit(x) for kv in rules.API_WEIGHTS.items() for x in kv])
+    return F.coalesce(table[api], table[canonical(api)])
 
 
 def clean_string(value: Column) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from ..functions import columns as C, rules
 
@@ -85,20 +86,22 @@ def calibrate(rows: DataFrame) -> DataFrame:
 
 
 def malware_risk(rows: DataFrame) -> DataFrame:
-    """Adds malware and malware_level to calibrated rows."""
+    """Adds malware and malware_level to calibrated rows. local_api: how many top functions show local API evidence."""
     inj, net, cry, per, anti, load = (F.col(c) for c in ("injection", "networking", "crypto", "persistence", "anti_analysis", "dynamic_loading"))
-    local = F.col("local_api_many")
+    local, evidence = F.col("local_api") >= 2, F.col("local_api") > 0
     score = F.col("calibrated") + points((inj, 18), (net & per, 8), (net & ~per & cry, 8), (net & ~per & ~cry, 4), (load & inj, 8), (anti & (inj | load | net | cry), 6), (F.col("high_risk") >= 3, 10), (local, 6))
-    score = score + points((~high_impact() & soft(), -15), (F.col("contexts") >= 2, -12), (F.col("negative") >= 20, -10), (~inj & ~net & ~cry & (F.col("high_risk") == 0), -8), (F.col("packed") & ~inj & ~local, -10), (F.col("packed") & (inj | local), -5))
+    score = score + points((~high_impact() & soft(), -15), (F.col("contexts") >= 2, -12), (F.col("negative") >= 20, -10), (~inj & ~net & ~cry & (F.col("high_risk") == 0), -8), (F.col("packed") & ~inj & ~evidence, -10), (F.col("packed") & (inj | evidence), -5))
     return rows.withColumn("malware", F.greatest(score, F.lit(0))).withColumn("malware_level", C.report_band(F.col("malware")))
 
 
 def packing_risk(rows: DataFrame) -> DataFrame:
-    """Adds packing and packing_level."""
+    """Adds packing and packing_level. high_names: names of the sections of high entropy, executable or not."""
     packed, ex, he, oep = F.col("packed"), F.col("exec_entropy"), F.col("high_entropy"), F.col("oep")
     caps = high_impact() | soft()
-    score = F.greatest("packer_score", F.lit(0)) + points((packed, 20), (F.col("entry_entropy") >= 7.6, 10), ((F.col("entry_entropy") >= 7.2) & (F.col("entry_entropy") < 7.6), 6), (oep >= 35, 12), ((oep >= 20) & (oep < 35), 6), (packed & (F.col("apis") <= 3), 10), (packed & ~caps, 10), ((ex == 0) & ~packed, -6))
-    score = score + F.least(4 * F.col("suspicious_sections"), F.lit(12)) + F.least(4 * he, F.lit(12)) + F.least(6 * ex, F.lit(18))
+    hint = F.lower(F.coalesce(F.nullif(F.trim("family"), F.lit("")), F.trim("summary_family"), F.lit("")))
+    resources = (F.size("high_names") > 0) & (ex == 0) & F.forall("high_names", lambda n: F.lower(F.trim(n)).isin(".rsrc", "rsrc"))
+    score = F.greatest("packer_score", "summary_packer_score") + points((~hint.isin(rules.NO_FAMILY), 10), (F.col("notes") > 0, 4), (resources, -10)) + points((packed, 20), (F.col("entry_entropy") >= 7.6, 10), ((F.col("entry_entropy") >= 7.2) & (F.col("entry_entropy") < 7.6), 6), (oep >= 35, 12), ((oep >= 20) & (oep < 35), 6), (packed & (F.col("apis") <= 3), 10), (packed & ~caps, 10), ((ex == 0) & ~packed, -6))
+    score = score + F.least(4 * F.col("suspicious_sections"), F.lit(12)) + F.least(4 * F.greatest(he, F.lit(0)), F.lit(12)) + F.least(6 * ex, F.lit(18))
     return rows.withColumn("packing", F.greatest(score, F.lit(0))).withColumn("packing_level", C.report_band(F.col("packing")))
 
 
@@ -116,10 +119,10 @@ def derived_capabilities(rows: DataFrame) -> DataFrame:
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """Adds signal, confidence, review, priority, assessment and dominant to rows with both risks and derived."""
+    """Adds signal, confidence, review, priority, assessment, dominant and interpretation to rows with both risks and derived."""
     m, p, ml, pl = F.col("malware"), F.col("packing"), F.col("malware_level"), F.col("packing_level")
     calm = (F.col("contexts") >= 2) & ~high_impact() & (m < 65)
-    hc = F.col("injection") & F.col("injection_high")
+    hc = (F.col("injection") & F.col("injection_high")) | (F.col("networking") & F.col("networking_high")) | (F.col("crypto") & F.col("crypto_high"))
     signal = F.when(calm, "low").when((m >= 120) | hc | (F.col("injection") & (F.col("high_risk") >= 1)), "high").when(m >= 60, "medium").otherwise("low")
     confidence = F.when(~F.col("valid"), "low").when(F.col("packed") & (F.col("reasoned") == 0), "low").when(F.col("packed"), "medium").when(hc | (F.col("reasoned") >= 2) | (F.col("high_risk") >= 2), "high").otherwise("medium")
     critical = (F.col("band") == "critical") & high_impact()
@@ -127,7 +130,7 @@ def decide(rows: DataFrame) -> DataFrame:
     priority = F.when((F.col("packed") & (ml == "high")) | (ml == "critical") | critical | ((pl == "high") & (F.col("oep") >= 35)), "high").when(review, "medium").otherwise("low")
     assessment = F.when(calm, "benign_leaning").when((p >= m + 25) & (m < 85), "packing_first").when(F.array_contains("derived", "in_memory_loader"), "in_memory_loader").when(ml.isin("high", "critical"), "malware_leaning").when(pl == "high", "packed").otherwise("inconclusive")
     dominant = F.when(calm & (p < 65), "balanced").when((m < 35) & (p < 35), "low_signal").when(p > m + 10, "packing").when(m > p + 10, "malware").otherwise("balanced")
-    return rows.select("*", signal.alias("signal"), confidence.alias("confidence"), review.alias("review"), priority.alias("priority"), assessment.alias("assessment"), dominant.alias("dominant"))
+    return rows.select("*", signal.alias("signal"), confidence.alias("confidence"), review.alias("review"), priority.alias("priority"), assessment.alias("assessment"), dominant.alias("dominant")).withColumn("interpretation", reduce(lambda c, kv: c.when(F.col("dominant") == kv[0], kv[1]), rules.INTERPRETATIONS.items(), F.when(F.lit(False), "")).otherwise(rules.INTERPRETATION_ELSE))
 
 
 def capability_ranks(rows: DataFrame) -> DataFrame:
@@ -147,3 +150,30 @@ def invalid_fields(name: Column, risk: Column, version: Column) -> Column:
     """Names of the three required fields that are null or blank."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return C.compact(F.when(blank(name), "sample.name"), F.when(blank(risk), "summary.risk_level"), F.when(blank(version), "summary.contract_version"))
+
+
+def raw_score(apis: DataFrame, capabilities: DataFrame, strings: DataFrame, functions: DataFrame, packers: DataFrame) -> DataFrame:
+    """sample_id and raw: capped sums of the best APIs, capabilities, strings and functions, and a bonus for packed samples with strong signals.
+
+    apis: sample_id, name, weight; capabilities: name, score, confidence; strings: score, benign_hint, value, address;
+    functions: name, score; packers: sample_id, packed, one row a sample. Each part is one partial aggregate per sample.
+    """
+    w = W.partitionBy("sample_id")
+    best = lambda df, by, n, *ties: df.withColumn("r", F.row_number().over(w.orderBy(F.desc(by), *ties))).where(F.col("r") <= n)
+    capped = lambda by, most: F.least(F.col(by), F.lit(most))
+    impact = F.col("name").isin(rules.HIGH_IMPACT) & F.col("confidence").isin("medium", "high")
+    parts = [
+        best(apis, "weight", 12, "name").groupBy("sample_id").agg(F.sum(capped("weight", 12)).alias("points"), F.lit(0).alias("signals")),
+        capabilities.groupBy("sample_id").agg(F.sum(F.when(F.col("name").isin(rules.SOFT), capped("score", 12)).otherwise(capped("score", 30))).alias("points"), F.count_if(impact).alias("signals")),
+        best(strings, "score", 25, "value", "address").where("not benign_hint").groupBy("sample_id").agg(F.sum(capped("score", 12)).alias("points"), F.lit(0).alias("signals")),
+        best(functions, "score", 6, "name").groupBy("sample_id").agg(F.sum(capped("score", 14)).alias("points"), F.count_if(F.col("score") >= 15).alias("signals")),
+    ]
+    total = reduce(lambda a, b: a.unionByName(b), parts).groupBy("sample_id").agg(F.sum("points").alias("points"), F.sum("signals").alias("signals"))
+    out = packers.select("sample_id", "packed").join(total, "sample_id", "left").fillna(0, ["points", "signals"])
+    return out.select("sample_id", (F.col("points") + F.when(F.col("packed") & (F.col("signals") >= 2), 6).otherwise(0)).cast("long").alias("raw"))
+
+
+def summary(raw: DataFrame, contexts: DataFrame) -> DataFrame:
+    """sample_id, raw, score after the benign contexts' adjustment (0 at least) and its risk level."""
+    rows = raw.join(contexts.select("sample_id", "adjustment"), "sample_id", "left").fillna(0, ["adjustment"])
+    return rows.withColumn("score", adjusted(F.col("raw"), F.col("adjustment"))).select("sample_id", "raw", "score", C.report_band(F.col("score")).alias("risk_level"))

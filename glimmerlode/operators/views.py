@@ -39,12 +39,14 @@ def ranked_apis(apis: DataFrame) -> DataFrame:
     return apis.withColumn("rank", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("weight"), "name")))
 
 
-def top_indicators(capabilities: DataFrame, apis: DataFrame, functions: DataFrame, k: int = 12) -> DataFrame:
-    """Up to five capabilities, APIs and functions, in block order, at most k a sample; strings are not built yet."""
+def top_indicators(capabilities: DataFrame, apis: DataFrame, functions: DataFrame, strings: DataFrame, k: int = 12) -> DataFrame:
+    """Up to five capabilities, APIs, functions and strings (60 characters of each), in block order, at most k a sample."""
     w = W.partitionBy("sample_id")
-    part = lambda df, block, text, by: df.withColumn("r", F.row_number().over(w.orderBy(F.desc(by), "name"))).where("r <= 5").select("sample_id", F.lit(block).alias("block"), "r", text.alias("indicator"))
+    part = lambda df, block, text, by: df.withColumn("r", F.row_number().over(w.orderBy(F.desc(by), "name"))).where("r <= 5").select(F.col("sample_id").cast("string").alias("sample_id"), F.lit(block).alias("block"), "r", text.alias("indicator"))
     said = lambda kind, by: F.concat(F.lit(f"{kind}:"), "name", F.lit(" (+"), F.col(by).cast("string"), F.lit(")"))
     rows = part(capabilities, 1, said("capability", "score"), "score").unionByName(part(apis, 2, said("api", "weight"), "weight")).unionByName(part(functions.where("score > 0"), 3, said("function", "score"), "score"))
+    texts = strings.withColumn("name", F.struct("value", "address"))
+    rows = rows.unionByName(part(texts, 4, F.concat(F.lit("string:"), F.substring("value", 1, 60), F.lit(" (+"), F.col("score").cast("string"), F.lit(")")), "score"))
     return rows.withColumn("rank", F.row_number().over(w.orderBy("block", "r"))).where(F.col("rank") <= k).select("sample_id", "rank", "indicator")
 
 

@@ -152,9 +152,9 @@ def role_summary(spark, sf):
     return e.groupBy("sample_id", F.lit("structure").alias("kind"), F.col("structure").alias("role")).agg(F.count("*").alias("n")).unionByName(e.select("sample_id", F.lit("behavior").alias("kind"), F.explode("roles").alias("role")).groupBy("sample_id", "kind", "role").agg(F.count("*").alias("n")))
 
 
-@query(O.facts("SELECT * FROM (SELECT sample_id, name, CAST(n_int + n_ext AS BIGINT) AS connectivity, row_number() OVER (PARTITION BY sample_id ORDER BY n_int + n_ext DESC, incoming DESC, score DESC, name) AS rank FROM enriched WHERE n_int + n_ext >= 4 AND (score >= 15 OR len(roles) > 0)) WHERE rank <= 12"))
+@query(O.facts("SELECT * FROM (SELECT sample_id, name, CAST(n_int + n_ext AS BIGINT) AS connectivity, row_number() OVER (PARTITION BY sample_id ORDER BY n_int + n_ext DESC, incoming DESC, score DESC, name) AS rank FROM enriched WHERE n_int + n_ext >= 12 AND (score >= 15 OR len(roles) > 0)) WHERE rank <= 12"))
 def hub_functions(spark, sf):
-    return fn.hub_functions(enriched(spark, sf), least=4).select("sample_id", "name", big("connectivity"), big("rank"))
+    return fn.hub_functions(enriched(spark, sf)).select("sample_id", "name", big("connectivity"), big("rank"))
 
 
 _NODES = "nodes AS (SELECT sample_id, name, score, roles, structure, internal FROM enriched)"
@@ -264,6 +264,35 @@ def benign_contexts(spark, sf):
     return scoring.benign_contexts(views.context_features(bind.symbols(spark, sf), enriched(spark, sf), found)).select("sample_id", text("contexts").alias("contexts"), big("adjustment"))
 
 
+_ADJUSTMENT = "CAST(" + " + ".join(f"CASE WHEN {test} THEN {rules.BENIGN_CONTEXTS[name]} ELSE 0 END" for name, test in {"rich_windows_gui_context": "ui >= 8 AND syms > 120", "desktop_app_file_io_context": "io >= 2 AND ui >= 5", "weak_persistence_signal": "per BETWEEN 1 AND 3 AND inj = 0 AND net = 0", "weak_anti_analysis_signal": "anti_x BETWEEN 1 AND 3 AND hi = 0", "no_high_risk_functions": "hi = 0", "microsoft_desktop_app_profile": "ui >= 10 AND syms >= 150", "soft_capability_only_profile": "inj = 0 AND net = 0 AND hi = 0 AND per + anti_x > 0"}.items()) + " AS BIGINT)"
+_RAW = f"""{_DETECT}, cap_ AS (SELECT sample_id, name, confidence, base + CASE confidence WHEN 'high' THEN 8 WHEN 'medium' THEN 3 ELSE 0 END AS score FROM det),
+api_ AS (SELECT sample_id, name, max(w) AS weight FROM (SELECT sample_id, {O.canon('symbol')} AS name, {O.weight('symbol')} AS w FROM symbols) WHERE w IS NOT NULL GROUP BY ALL),
+fun_ AS (SELECT sample_id, score, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, name) AS r FROM enriched),
+part_ AS (SELECT sample_id, least(weight, 12) AS p, 0 AS s FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY weight DESC, name) AS r FROM api_) WHERE r <= 12
+  UNION ALL SELECT sample_id, CASE WHEN name IN ('persistence', 'anti_analysis', 'dynamic_loading') THEN least(score, 12) ELSE least(score, 30) END, CAST(name IN ('process_injection', 'networking', 'crypto') AND confidence IN ('medium', 'high') AS INTEGER) FROM cap_
+  UNION ALL SELECT sample_id, least(score, 14), CAST(score >= 15 AS INTEGER) FROM fun_ WHERE r <= 6),
+raw_ AS (SELECT c_custkey AS sample_id, CAST(coalesce(sum(p), 0) + CASE WHEN c_custkey % 3 = 0 AND coalesce(sum(s), 0) >= 2 THEN 6 ELSE 0 END AS BIGINT) AS raw FROM customer LEFT JOIN part_ ON sample_id = c_custkey GROUP BY c_custkey)"""
+
+
+def _raw(spark, sf):
+    s = bind.symbols(spark, sf)
+    packers = bind.read(spark, sf, "customer").select(F.col("c_custkey").alias("sample_id"), (F.col("c_custkey") % 3 == 0).alias("packed"))
+    none = spark.createDataFrame([], "sample_id long, score int, benign_hint boolean, value string, address string")
+    return scoring.raw_score(apis.suspicious_apis(s), apis.detect_capabilities(s), none, enriched(spark, sf), packers)
+
+
+@query(f"WITH {O.FACTS}, {_RAW} SELECT * FROM raw_")
+def raw_score(spark, sf):
+    return _raw(spark, sf)
+
+
+@query(f"""WITH {O.FACTS}, {_CTX}, {_RAW}, ctx_ AS (SELECT sample_id, {_ADJUSTMENT} AS adjustment FROM cx) SELECT sample_id, raw, greatest(raw + coalesce(adjustment, 0), 0) AS score, CASE WHEN greatest(raw + coalesce(adjustment, 0), 0) >= 120 THEN 'critical' WHEN greatest(raw + coalesce(adjustment, 0), 0) >= 85 THEN 'high' WHEN greatest(raw + coalesce(adjustment, 0), 0) >= 30 THEN 'medium' ELSE 'low' END AS risk_level FROM raw_ LEFT JOIN ctx_ USING (sample_id)""")
+def risk_summary(spark, sf):
+    found = strings.top_strings(strings.score_strings(bind.strings(spark, sf)))
+    contexts = scoring.benign_contexts(views.context_features(bind.symbols(spark, sf), enriched(spark, sf), found))
+    return scoring.summary(_raw(spark, sf), contexts).select("sample_id", "raw", big("score"), "risk_level")
+
+
 def judged(spark, sf):
     return scoring.decide(scoring.derived_capabilities(scoring.packing_risk(scoring.malware_risk(scoring.calibrate(bind.features(spark, sf))))))
 
@@ -288,12 +317,12 @@ def derived_capabilities(spark, sf):
     return judged(spark, sf).select("sample_id", text("derived").alias("derived"))
 
 
-@query(f"""WITH {O.FEATURES}, d AS (SELECT *, inj AND inj_high AS hc, band = 'critical' AND impact AS crit, packed OR (band = 'critical' AND impact) OR ml IN ('high', 'critical') OR len(derived) > 0 OR NOT valid OR oep >= 35 AS review FROM lev)
-SELECT sample_id, CASE WHEN calm THEN 'low' WHEN malware >= 120 OR hc OR (inj AND high_risk >= 1) THEN 'high' WHEN malware >= 60 THEN 'medium' ELSE 'low' END AS signal, CASE WHEN NOT valid OR (packed AND reasoned = 0) THEN 'low' WHEN packed THEN 'medium' WHEN hc OR reasoned >= 2 OR high_risk >= 2 THEN 'high' ELSE 'medium' END AS confidence, review,
+@query(f"""WITH {O.FEATURES}, d AS (SELECT *, (inj AND inj_high) OR (net AND net_high) OR (cry AND cry_high) AS hc, band = 'critical' AND impact AS crit, packed OR (band = 'critical' AND impact) OR ml IN ('high', 'critical') OR len(derived) > 0 OR NOT valid OR oep >= 35 AS review FROM lev),
+j AS (SELECT sample_id, CASE WHEN calm THEN 'low' WHEN malware >= 120 OR hc OR (inj AND high_risk >= 1) THEN 'high' WHEN malware >= 60 THEN 'medium' ELSE 'low' END AS signal, CASE WHEN NOT valid OR (packed AND reasoned = 0) THEN 'low' WHEN packed THEN 'medium' WHEN hc OR reasoned >= 2 OR high_risk >= 2 THEN 'high' ELSE 'medium' END AS confidence, review,
 CASE WHEN (packed AND ml = 'high') OR ml = 'critical' OR crit OR (pl = 'high' AND oep >= 35) THEN 'high' WHEN review THEN 'medium' ELSE 'low' END AS priority, CASE WHEN calm THEN 'benign_leaning' WHEN packing >= malware + 25 AND malware < 85 THEN 'packing_first' WHEN list_contains(derived, 'in_memory_loader') THEN 'in_memory_loader' WHEN ml IN ('high', 'critical') THEN 'malware_leaning' WHEN pl = 'high' THEN 'packed' ELSE 'inconclusive' END AS assessment,
-CASE WHEN calm AND packing < 65 THEN 'balanced' WHEN malware < 35 AND packing < 35 THEN 'low_signal' WHEN packing > malware + 10 THEN 'packing' WHEN malware > packing + 10 THEN 'malware' ELSE 'balanced' END AS dominant FROM d""")
+CASE WHEN calm AND packing < 65 THEN 'balanced' WHEN malware < 35 AND packing < 35 THEN 'low_signal' WHEN packing > malware + 10 THEN 'packing' WHEN malware > packing + 10 THEN 'malware' ELSE 'balanced' END AS dominant FROM d), e AS (SELECT * FROM j) SELECT *, CASE dominant {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.INTERPRETATIONS.items())} ELSE '{rules.INTERPRETATION_ELSE}' END AS interpretation FROM e""")
 def decision_summary(spark, sf):
-    return judged(spark, sf).select("sample_id", "signal", "confidence", "review", "priority", "assessment", "dominant")
+    return judged(spark, sf).select("sample_id", "signal", "confidence", "review", "priority", "assessment", "dominant", "interpretation")
 
 
 _RANKS = """f AS (SELECT c_custkey AS k, ['process_injection', 'networking', 'crypto', 'persistence', 'anti_analysis', 'dynamic_loading'][c_custkey % 6 + 1] AS name, 1 + c_custkey % 3 AS start, 2 + c_custkey % 5 AS n, 2 AS least, c_custkey % 4 AS sup, c_custkey % 3 AS med, c_custkey % 2 AS top, c_custkey % 4 AS contexts, (c_custkey * 11) % 60 AS negative, c_custkey % 3 = 0 AS packed FROM customer),
@@ -347,9 +376,10 @@ def inspect_capability(spark, sf):
     return views.inspect_capability(enriched(spark, sf), "networking").select("sample_id", "name", big("score"), big("rank"))
 
 
-@query(f"""WITH {O.FACTS}, {_DETECT}, c AS (SELECT sample_id, name, base + CASE confidence WHEN 'high' THEN 8 WHEN 'medium' THEN 3 ELSE 0 END AS s FROM det), p AS (SELECT sample_id, name, max(w) AS s FROM (SELECT sample_id, {O.canon('symbol')} AS name, {O.weight('symbol')} AS w FROM symbols) WHERE w IS NOT NULL GROUP BY ALL),
-u AS (SELECT sample_id, 1 AS b, 'capability:' || name || ' (+' || s || ')' AS indicator, row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, name) AS r FROM c UNION ALL SELECT sample_id, 2, 'api:' || name || ' (+' || s || ')', row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, name) FROM p UNION ALL SELECT sample_id, 3, 'function:' || name || ' (+' || score || ')', row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, name) FROM enriched WHERE score > 0),
+@query(f"""WITH {O.FACTS}, {O.STRING_FACTS}, {_DETECT}, c AS (SELECT sample_id, name, base + CASE confidence WHEN 'high' THEN 8 WHEN 'medium' THEN 3 ELSE 0 END AS s FROM det), p AS (SELECT sample_id, name, max(w) AS s FROM (SELECT sample_id, {O.canon('symbol')} AS name, {O.weight('symbol')} AS w FROM symbols) WHERE w IS NOT NULL GROUP BY ALL),
+u AS (SELECT CAST(sample_id AS VARCHAR) AS sample_id, 1 AS b, 'capability:' || name || ' (+' || s || ')' AS indicator, row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, name) AS r FROM c UNION ALL SELECT CAST(sample_id AS VARCHAR), 2, 'api:' || name || ' (+' || s || ')', row_number() OVER (PARTITION BY sample_id ORDER BY s DESC, name) FROM p UNION ALL SELECT CAST(sample_id AS VARCHAR), 3, 'function:' || name || ' (+' || score || ')', row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, name) FROM enriched WHERE score > 0
+  UNION ALL SELECT sample_id, 4, 'string:' || left(value, 60) || ' (+' || score || ')', row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, value, address) FROM strings_scored WHERE score > 0),
 z AS (SELECT sample_id, indicator, row_number() OVER (PARTITION BY sample_id ORDER BY b, r) AS rank FROM u WHERE r <= 5) SELECT * FROM z WHERE rank <= 12""")
 def top_indicators(spark, sf):
     s = bind.symbols(spark, sf)
-    return views.top_indicators(apis.detect_capabilities(s), apis.suspicious_apis(s), enriched(spark, sf)).select("sample_id", big("rank"), "indicator")
+    return views.top_indicators(apis.detect_capabilities(s), apis.suspicious_apis(s), enriched(spark, sf), strings.score_strings(bind.strings(spark, sf))).select("sample_id", big("rank"), "indicator")

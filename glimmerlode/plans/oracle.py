@@ -82,13 +82,13 @@ prev AS (SELECT *, array_to_string(list(m) OVER (PARTITION BY sample_id ORDER BY
 
 FEATURES = """
 feat AS (SELECT c_custkey AS sample_id, (c_custkey * 37) % 160 AS score, c_custkey % 3 = 0 AS packed, (c_custkey * 13) % 110 AS packer_score, c_custkey % 5 AS high_risk, (c_custkey * 7) % 50 AS max_top, c_custkey % 4 AS strong_strings, c_custkey % 6 AS reasoned, c_custkey % 9 AS apis, c_custkey % 4 AS contexts, (c_custkey * 11) % 60 AS negative,
-  c_custkey % 2 = 0 AS inj, c_custkey % 3 = 1 AS net, c_custkey % 7 = 0 AS cry, c_custkey % 4 = 1 AS per, c_custkey % 5 = 2 AS anti_x, c_custkey % 6 < 3 AS ldr, c_custkey % 8 < 3 AS inj_high, c_custkey % 11 < 4 AS local_many, c_custkey % 10 AS sus, c_custkey % 3 AS he, CAST(c_custkey % 5 = 4 AS INTEGER) AS ex, 5.5 + (c_custkey % 25) / 10.0 AS ep, (c_custkey * 3) % 50 AS oep, c_custkey % 13 <> 0 AS valid FROM customer),
+  c_custkey % 2 = 0 AS inj, c_custkey % 3 = 1 AS net, c_custkey % 7 = 0 AS cry, c_custkey % 4 = 1 AS per, c_custkey % 5 = 2 AS anti_x, c_custkey % 6 < 3 AS ldr, c_custkey % 8 < 3 AS inj_high, (c_custkey % 11) % 4 AS local_api, c_custkey % 10 < 3 AS net_high, c_custkey % 9 < 2 AS cry_high, (c_custkey * 17) % 90 AS summary_packer, ['', 'UPX-like', 'Unknown', ' none ', 'N/A', 'ASPack-like', 'null'][c_custkey % 7 + 1] AS family, CASE WHEN c_custkey % 2 = 0 THEN 'UPX' ELSE '' END AS summary_family, c_custkey % 5 = 1 AS noted, [[], ['.text'], ['.rsrc', '.text'], ['.RSRC ', 'rsrc']][c_custkey % 4 + 1] AS high_names, c_custkey % 10 AS sus, c_custkey % 3 AS he, CAST(c_custkey % 5 = 4 AS INTEGER) AS ex, 5.5 + (c_custkey % 25) / 10.0 AS ep, (c_custkey * 3) % 50 AS oep, c_custkey % 13 <> 0 AS valid FROM customer),
 cond AS (SELECT *, inj OR net OR cry AS impact, per OR anti_x OR ldr AS softs, CAST(inj AS INT) + CAST(net AS INT) + CAST(cry AS INT) + CAST(per AS INT) + CAST(anti_x AS INT) + CAST(ldr AS INT) AS n_caps FROM feat),
 fire AS (SELECT *, [CASE WHEN high_risk >= 2 THEN 'multiple_high_risk_top_functions' END, CASE WHEN packed THEN 'packed_sample_static_visibility_penalty' END, CASE WHEN inj THEN 'process_injection_capability' END, CASE WHEN strong_strings >= 1 THEN 'high_signal_interesting_strings' END, CASE WHEN reasoned >= 1 THEN 'top_function_reasoned_evidence' END,
   CASE WHEN packed AND apis <= 4 AND n_caps <= 1 AND max_top < 35 THEN 'strong_packing_with_weak_visible_behavior' END, CASE WHEN contexts >= 2 AND negative >= 20 THEN 'benign_context_heavy_discount' END, CASE WHEN softs AND NOT impact THEN 'soft_capability_only_discount' END] AS f FROM cond),
 cal AS (SELECT *, greatest(0, score + list_sum(list_transform(f, lambda x: CASE x WHEN 'multiple_high_risk_top_functions' THEN 10 WHEN 'packed_sample_static_visibility_penalty' THEN -10 WHEN 'process_injection_capability' THEN 15 WHEN 'high_signal_interesting_strings' THEN 5 WHEN 'top_function_reasoned_evidence' THEN 6 WHEN 'strong_packing_with_weak_visible_behavior' THEN -6 WHEN 'benign_context_heavy_discount' THEN -10 WHEN 'soft_capability_only_discount' THEN -8 ELSE 0 END))) AS calibrated FROM fire),
-mal AS (SELECT *, CASE WHEN calibrated >= 120 THEN 'critical' WHEN calibrated >= 85 THEN 'high' WHEN calibrated >= 30 THEN 'medium' ELSE 'low' END AS band, greatest(0, calibrated + CASE WHEN inj THEN 18 ELSE 0 END + CASE WHEN net AND (per OR cry) THEN 8 WHEN net THEN 4 ELSE 0 END + CASE WHEN ldr AND inj THEN 8 ELSE 0 END + CASE WHEN anti_x AND (inj OR ldr OR net OR cry) THEN 6 ELSE 0 END + CASE WHEN high_risk >= 3 THEN 10 ELSE 0 END + CASE WHEN local_many THEN 6 ELSE 0 END
-  - CASE WHEN softs AND NOT impact THEN 15 ELSE 0 END - CASE WHEN contexts >= 2 THEN 12 ELSE 0 END - CASE WHEN negative >= 20 THEN 10 ELSE 0 END - CASE WHEN NOT impact AND high_risk = 0 THEN 8 ELSE 0 END - CASE WHEN packed AND (inj OR local_many) THEN 5 WHEN packed THEN 10 ELSE 0 END) AS malware FROM cal),
-pac AS (SELECT *, greatest(0, packer_score + CASE WHEN packed THEN 20 ELSE 0 END + least(4 * sus, 12) + least(4 * he, 12) + least(6 * ex, 18) + CASE WHEN ep >= 7.6 THEN 10 WHEN ep >= 7.2 THEN 6 ELSE 0 END + CASE WHEN oep >= 35 THEN 12 WHEN oep >= 20 THEN 6 ELSE 0 END + CASE WHEN packed AND apis <= 3 THEN 10 ELSE 0 END + CASE WHEN packed AND n_caps = 0 THEN 10 ELSE 0 END - CASE WHEN ex = 0 AND NOT packed THEN 6 ELSE 0 END) AS packing,
+mal AS (SELECT *, CASE WHEN calibrated >= 120 THEN 'critical' WHEN calibrated >= 85 THEN 'high' WHEN calibrated >= 30 THEN 'medium' ELSE 'low' END AS band, greatest(0, calibrated + CASE WHEN inj THEN 18 ELSE 0 END + CASE WHEN net AND (per OR cry) THEN 8 WHEN net THEN 4 ELSE 0 END + CASE WHEN ldr AND inj THEN 8 ELSE 0 END + CASE WHEN anti_x AND (inj OR ldr OR net OR cry) THEN 6 ELSE 0 END + CASE WHEN high_risk >= 3 THEN 10 ELSE 0 END + CASE WHEN local_api >= 2 THEN 6 ELSE 0 END
+  - CASE WHEN softs AND NOT impact THEN 15 ELSE 0 END - CASE WHEN contexts >= 2 THEN 12 ELSE 0 END - CASE WHEN negative >= 20 THEN 10 ELSE 0 END - CASE WHEN NOT impact AND high_risk = 0 THEN 8 ELSE 0 END - CASE WHEN packed AND NOT inj AND local_api = 0 THEN 10 WHEN packed THEN 5 ELSE 0 END) AS malware FROM cal),
+pac AS (SELECT *, greatest(0, greatest(packer_score, summary_packer) + CASE WHEN lower(CASE WHEN trim(family) <> '' THEN trim(family) ELSE trim(summary_family) END) IN ('', 'none', 'unknown', 'n/a', 'na', 'null') THEN 0 ELSE 10 END + CASE WHEN noted THEN 4 ELSE 0 END - CASE WHEN len(high_names) > 0 AND ex = 0 AND len(list_filter(high_names, lambda n: lower(trim(n)) NOT IN ('.rsrc', 'rsrc'))) = 0 THEN 10 ELSE 0 END + CASE WHEN packed THEN 20 ELSE 0 END + least(4 * sus, 12) + least(4 * he, 12) + least(6 * ex, 18) + CASE WHEN ep >= 7.6 THEN 10 WHEN ep >= 7.2 THEN 6 ELSE 0 END + CASE WHEN oep >= 35 THEN 12 WHEN oep >= 20 THEN 6 ELSE 0 END + CASE WHEN packed AND apis <= 3 THEN 10 ELSE 0 END + CASE WHEN packed AND n_caps = 0 THEN 10 ELSE 0 END - CASE WHEN ex = 0 AND NOT packed THEN 6 ELSE 0 END) AS packing,
   list_filter([CASE WHEN inj AND ldr AND inj_high AND high_risk >= 1 THEN 'in_memory_loader' END, CASE WHEN net AND per AND high_risk >= 1 THEN 'persistent_networked_payload' END, CASE WHEN anti_x AND inj AND inj_high THEN 'evasion_aware_injector' END, CASE WHEN ldr AND packed AND ex >= 1 THEN 'packed_loader_stub' END, CASE WHEN inj AND ldr AND inj_high AND max_top >= 30 THEN 'staged_injector' END], lambda x: x IS NOT NULL) AS derived FROM mal),
 lev AS (SELECT *, CASE WHEN malware >= 120 THEN 'critical' WHEN malware >= 85 THEN 'high' WHEN malware >= 30 THEN 'medium' ELSE 'low' END AS ml, CASE WHEN packing >= 120 THEN 'critical' WHEN packing >= 85 THEN 'high' WHEN packing >= 30 THEN 'medium' ELSE 'low' END AS pl, contexts >= 2 AND NOT impact AND malware < 65 AS calm FROM pac)"""

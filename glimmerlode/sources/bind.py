@@ -12,6 +12,8 @@ APIS = [*rules.API_WEIGHTS, *NEUTRAL]
 MNEMONICS = ["PUSHAD", "MOV", "JMP", "CALL", "XOR", "POPAD", "JMP", "RET", "PUSHA"]
 SECTIONS = [".text", "UPX0", ".rsrc", ".boom", "CODE", ".rdata", ".aspack", "odd"]
 
+FAMILIES = ["", "UPX-like", "Unknown", " none ", "N/A", "ASPack-like", "null"]
+HIGH_NAMES = ["", ".text", ".rsrc|.text", ".RSRC |rsrc"]
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,5 +84,5 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(
         k.alias("sample_id"), ((k * 37) % 160).cast("int").alias("score"), (k % 3 == 0).alias("packed"), ((k * 13) % 110).cast("int").alias("packer_score"), (k % 5).cast("int").alias("high_risk"), ((k * 7) % 50).cast("int").alias("max_top"), (k % 4).cast("int").alias("strong_strings"), (k % 6).cast("int").alias("reasoned"),
         (k % 9).cast("int").alias("apis"), (k % 4).cast("int").alias("contexts"), ((k * 11) % 60).cast("int").alias("negative"), (k % 2 == 0).alias("injection"), (k % 3 == 1).alias("networking"), (k % 7 == 0).alias("crypto"), (k % 4 == 1).alias("persistence"), (k % 5 == 2).alias("anti_analysis"), (k % 6 < 3).alias("dynamic_loading"),
-        (k % 8 < 3).alias("injection_high"), (k % 11 < 4).alias("local_api_many"), (k % 10).cast("int").alias("suspicious_sections"), (k % 3).cast("int").alias("high_entropy"), (k % 5 == 4).cast("int").alias("exec_entropy"), (5.5 + (k % 25) / 10.0).cast("double").alias("entry_entropy"), ((k * 3) % 50).cast("int").alias("oep"), (k % 13 != 0).alias("valid"),
-    )
+        (k % 8 < 3).alias("injection_high"), ((k % 11) % 4).cast("int").alias("local_api"), (k % 10 < 3).alias("networking_high"), (k % 9 < 2).alias("crypto_high"), ((k * 17) % 90).cast("int").alias("summary_packer_score"), pick(FAMILIES, k % len(FAMILIES)).alias("family"), F.when(k % 2 == 0, "UPX").otherwise("").alias("summary_family"), (k % 5 == 1).cast("int").alias("notes"), F.split(pick(HIGH_NAMES, k % len(HIGH_NAMES)), "[|]").alias("all_names"), (k % 10).cast("int").alias("suspicious_sections"), (k % 3).cast("int").alias("high_entropy"), (k % 5 == 4).cast("int").alias("exec_entropy"), (5.5 + (k % 25) / 10.0).cast("double").alias("entry_entropy"), ((k * 3) % 50).cast("int").alias("oep"), (k % 13 != 0).alias("valid"),
+    ).withColumn("high_names", F.filter("all_names", lambda n: n != "")).drop("all_names")
