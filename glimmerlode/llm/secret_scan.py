@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns plus character Markov models. DataFrame functions only.
 
-Two first-order Markov models over character classes are trained from labelled samples: seeded random strings and
-ordinary identifiers joined from common words. A candidate token's score is the sum of its transitions' log-likelihood
-ratios; tokens above THRESHOLD per character are added as `markov` spans. The ratio table is one literal array, read
-by index for each pair of neighbouring characters, so scoring stays in the engine.
+Two first-order Markov models over characters are trained from labelled samples: seeded random strings of several
+alphabets, and ordinary identifiers joined from common words and from pronounceable syllables. A candidate token's score
+is the mean of its transitions' log-likelihood ratios; tokens of THRESHOLD or more are added as `markov` spans. The ratio
+table is one literal array, read by index for each pair of neighbouring characters, so scoring stays in the engine and
+takes time in proportion to the token.
 
 Offsets come from splitting and extracting with the same pattern: pieces and matches alternate, and running sums of
 their lengths are the code-point positions. Defined cases: null or empty text has no spans and the hash of the empty
-string; rows that repeat are scanned alike; an empty table gives an empty result; other columns are ignored.
+string; very long texts and tokens are scanned whole; rows that repeat are scanned alike; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,22 +26,35 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-THRESHOLD = 0.45
+THRESHOLD = 0.3
 SCALE = 1000
 WORDS = "the and for user name value index count table file path list item data node tree hash map key config server client request response time start stop open close read write get set add remove update create delete find search print format parse load save send receive buffer stream string number object class method function variable module package import export test check error warning message state event handler thread process memory cache queue stack array matrix vector image color width height size length offset position account order price customer report summary total average network service session window button label field form page link image title content document section paragraph letter".split()
 
 
-def samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
+ONSETS = "b c d f g h j k l m n p r s t v w z st tr pr gr sch th ch br cl str qu".split()
+VOWELS = "a e i o u a e i o e ie ei ou ai au ea io".split()
+CODAS = ["", "", "", "n", "r", "s", "t", "ng", "l", "nd", "st", "m", "ll"]
+#: Alphabets of random strings: letters of either or one case, with digits, and with the marks of encodings.
+ALPHABETS = (ALPHABET[:62], ALPHABET[:64], ALPHABET, ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:52], ALPHABET[:26], ALPHABET[26:52])
+
+
+def ordinary(rng: random.Random) -> str:
+    """A name as programs and texts have it."""
+    made = lambda: "".join(rng.choice(ONSETS) + rng.choice(VOWELS) + rng.choice(CODAS) for _ in range(rng.randint(1, 4)))
+    words = [rng.choice(WORDS) if rng.random() < 0.5 else made() for _ in range(rng.randint(2, 6))]
+    if rng.random() < 0.3:
+        words.append(str(rng.randint(0, 2030)))
+    style = rng.randrange(6)
+    return ("_", "-", "/", "", "_", "")[style].join(w.upper() if style == 4 else w.capitalize() if style == 3 else w for w in words)
+
+
+def samples(n: int = 8000, seed: int = 11) -> list[tuple[str, int]]:
     """Labelled samples: 1 for a random string, 0 for an ordinary identifier."""
     rng, out = random.Random(seed), []
     for _ in range(n):
-        kind = rng.choice((ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET))
+        kind = rng.choice(ALPHABETS)
         out.append(("".join(rng.choice(kind) for _ in range(rng.randint(20, 44))), 1))
-        words = [rng.choice(WORDS) for _ in range(rng.randint(2, 6))]
-        if rng.random() < 0.3:
-            words.append(str(rng.randint(0, 2030)))
-        style = rng.randrange(5)
-        out.append((("_", "-", "/", "", "_")[style].join(w.upper() if style == 4 else w.capitalize() if style == 3 else w for w in words), 0))
+        out.append((ordinary(rng), 0))
     return out
 
 
@@ -51,12 +66,9 @@ def train(labelled: list[tuple[str, int]]) -> list[int]:
     for text, label in labelled:
         for a, b in zip(text, text[1:], strict=False):
             counts[label][at[a]][at[b]] += 1
-    # A gibberish but pronounceable word is not a secret: transitions inside lower case lose their weight.
-    out = []
-    for a in range(n):
-        sums = [sum(counts[k][a]) for k in (0, 1)]
-        out += [round(SCALE * (math.log(counts[1][a][b] / sums[1]) - math.log(counts[0][a][b] / sums[0]))) if not (a < 26 and b < 26) else min(0, round(SCALE * (math.log(counts[1][a][b] / sums[1]) - math.log(counts[0][a][b] / sums[0])))) for b in range(n)]
-    return out
+    sums = [[sum(row) for row in side] for side in counts]
+    ratio = lambda a, b: math.log(counts[1][a][b] / sums[1][a]) - math.log(counts[0][a][b] / sums[0][a])
+    return [round(SCALE * ratio(a, b)) for a in range(n) for b in range(n)]
 
 
 def _spans(text: Column, pattern: str, kind: int, size: Column | None = None, group: int = 0, least: int = 0) -> Column:
@@ -78,8 +90,9 @@ def markov_score(token: Column, table: list[int]) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
     n = len(ALPHABET)
     ratios = F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<int>")
-    index = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    total = F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0), lambda acc, i: acc + F.get(ratios, index(i) * n + index(i + 1)))
+    index = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pairs = F.zip_with(F.slice(index, 1, F.char_length(token) - 1), F.slice(index, 2, F.char_length(token) - 1), lambda a, b: a * n + b)
+    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, at: acc + F.get(ratios, at))
     return total / (F.char_length(token) - 1) / SCALE
 
 
@@ -90,7 +103,7 @@ def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     base = F.concat(_spans(F.col("text"), ASSIGN, 0, group=2, least=8), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2))
     cut = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
     rows = rows.withColumn("base", F.array_sort(base)).withColumn("tokens", _spans(F.col("text"), TOKEN, 3))
-    looks = lambda s: cut(s).rlike("[0-9]") & cut(s).rlike("[A-Za-z]") & (markov_score(cut(s), table) >= threshold)
+    looks = lambda s: markov_score(cut(s), table) >= threshold
     rows = rows.withColumn("more", F.when(F.size("tokens") > 0, F.filter("tokens", looks)).otherwise(F.col("tokens")))
     names = F.array(*[F.lit(k) for k in KINDS])
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
