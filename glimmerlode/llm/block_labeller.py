@@ -6,8 +6,8 @@ punctuation, position). A bidirectional LSTM in numpy reads the whole sequence a
 not, so a block is judged in the context of its document. It is trained here, on the driver, from seeded synthetic
 pages whose blocks have known labels; the weights are small and of fixed size.
 
-Defined cases: null or empty html gives empty text; unclosed tags, scripts and comments end with the page; rows that
-repeat are extracted alike; an empty table gives an empty result; pages without main blocks give empty text.
+Defined cases: null or empty html gives empty text; unclosed tags, scripts and comments end with the page; very long pages
+are read whole, in time in proportion to their length; rows that repeat are extracted alike; extra columns are ignored; an empty table gives an empty result; pages without main blocks give empty text.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+PADDED = 1 << 14
 PATH_IDS, WORD_IDS, DIM, HIDDEN, MEASURES = 1024, 512, 16, 20, 8
 SCHEMA = "page_id long, url string, text string, n_chars long"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>\"[^\"]*\"|'[^']*'|[^>\"']++|[\"'])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Tags that have no content, and tags that stay inside a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -152,7 +153,8 @@ class Labeller:
             mask[:k, j] = 1
         return x, mask
 
-    def run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Outputs of one direction and, if kept for training, what each step held."""
         steps, pages, _ = x.shape
         h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
         xs = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
@@ -164,14 +166,14 @@ class Labeller:
             m = mask[t][:, None]
             new = (f * c + i * g) * m
             th = np.tanh(new)
-            memo[t] = (h, c, i, f, o, g, th, m)
+            memo[t] = (h, c, i, f, o, g, th, m) if keep else None
             h, c = o * th * m, new
             out[t] = h
         return out, memo
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        a, ma = self.run(x, mask, "f")
-        b, mb = self.run(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
+        a, ma = self.run(x, mask, "f", keep)
+        b, mb = self.run(x, mask, "b", keep)
         top = np.concatenate([a, b, x], axis=2)
         return (top @ self.w["out"])[:, :, 0] + self.w["bias"][0], (top, ma, mb)
 
@@ -214,9 +216,13 @@ class Labeller:
         """True for main blocks, for pages of any number of blocks."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         some = sorted((i for i, p in enumerate(pages) if len(p[2])), key=lambda i: len(pages[i][2]))
-        for k in range(0, len(some), 128):
-            part = some[k : k + 128]
-            z, _ = self.forward(*self.inputs([pages[i] for i in part]))
+        while some:
+            # pages of like length together, as many as PADDED blocks hold at the longest one's length
+            count = 1
+            while count < min(len(some), 128) and len(pages[some[-1]][2]) * (count + 1) <= PADDED:
+                count += 1
+            part, some = some[-count:], some[:-count]
+            z, _ = self.forward(*self.inputs([pages[i] for i in part]), keep=False)
             for j, i in enumerate(part):
                 out[i] = z[: len(pages[i][2]), j] > 0
         return out
