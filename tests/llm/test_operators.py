@@ -255,3 +255,61 @@ def test_every_class_word_enters_the_path():
     assert [t for t in path if t[0] == "."] == [f".{w}" for w in "mt px py text sm flex items center sidebar more complementary".split()]
     model = block_labeller.train()
     assert model.label([block_labeller.encode_page(block_labeller.blocks_of(page))])[0].tolist() == [True, False]
+
+
+@pytest.mark.parametrize("page", ['<a "x ' * 20_000, "<!" * 20_000, "<script " * 20_000, "<p>" * 20_000, '<div class="x>' * 10_000, "<p>word</p>" * 20_000])
+def test_hostile_pages_take_little_time(page):
+    import time
+
+    began, model = time.time(), block_labeller.Labeller()
+    found = block_labeller.blocks_of(page)
+    assert len(model.label([block_labeller.encode_page(found), block_labeller.encode_page([])])[0]) == len(found)
+    assert time.time() - began < 10
+
+
+def test_extraction_defined_cases(spark):
+    page = "<body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>The first  text of\nthe article, which is long enough.</p><p>The second text of the article, with more words in it.</p></article><footer>&copy; all</footer></body>"
+    rows = [(1, "u", page, 9), (1, "u", page, 9), (2, None, None, 9), (3, "v", "", 9), (None, "w", "<p", 9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
+    got = block_labeller.extract_pages(df).collect()
+    main = "A & B\n\nThe first text of the article, which is long enough.\n\nThe second text of the article, with more words in it."
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted([("1", main, len(main))] * 2 + [(k, "", 0) for k in ("2", "3", "None")])
+    assert block_labeller.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("alphabet", secret_scan.ALPHABETS)
+def test_markov_models_on_held_out_strings(alphabet):
+    table, at, r = secret_scan.train(secret_scan.samples()), {c: i for i, c in enumerate(secret_scan.ALPHABET)}, random.Random(99)
+    score = lambda t: sum(table[at[a] * len(at) + at[b]] for a, b in zip(t, t[1:], strict=False)) / (len(t) - 1) / secret_scan.SCALE
+    assert sum(score("".join(r.choice(alphabet) for _ in range(32))) >= secret_scan.THRESHOLD for _ in range(400)) >= 390
+    names = [n for n in (secret_scan.ordinary(r) for _ in range(1000)) if len(n) >= 20]
+    assert sum(score(n) >= secret_scan.THRESHOLD for n in names) <= 0.01 * len(names)
+
+
+def test_secret_scan_against_python(spark, rows):
+    import time
+
+    r = random.Random(5)
+    marks = ["api_key: ", "TOKEN='", 'passwd" = "', "AKIA", "é ", "\n", " "]
+    texts = ["".join(r.choice(marks) + "".join(r.choice("0123456789abcdefXYZ") for _ in range(r.randint(1, 50))) for _ in range(r.randint(1, 30))) for _ in range(40)]
+    texts += ["Kx9" * 12_000, "thelongestnameofall" * 3, "qzXvKjWpQxZvBnMkLrTy"]
+    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, base int")
+    began = time.time()
+    got = {g.doc_id: g for g in secret_scan.scan_secrets(df).collect()}
+    assert time.time() - began < 30
+    for k, t in enumerate(texts):
+        found = [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN, t) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer(secret_scan.ACCESS, t)] + [(m.start(), 2, m.end()) for m in re.finditer(secret_scan.HEX, t)]
+        said = ",".join(f"{secret_scan.KINDS[q]}:{a}:{z}" for a, q, z in sorted(found))
+        assert got[k].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(q == i for _, q, _ in found) for i in range(3)]
+    assert "markov" in got[len(texts) - 1].spans and "markov" not in got[len(texts) - 2].spans
+    assert secret_scan.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_decontamination_of_names_at_sentence_starts(spark):
+    item = "Maria bought 4 pens for 8 euros today. Maria gave 2 pens to a friend of hers at school."
+    same = item.replace("Maria", "Peter").replace("4", "7").replace("8", "9").replace("2", "3")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, same), (2, "Maria bought nothing for a long time and then she left for good."), (None, item), (4, None)], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in decontaminate.contaminated(docs, bench).collect()) == ["1", "None"]
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
