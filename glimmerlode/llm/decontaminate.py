@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import fresh, materialize
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -124,6 +124,7 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, found: DataFrame, width:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the contaminated ones; columns of any name pass through."""
+    name = fresh(docs, "bad_id")
+    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -8,7 +8,7 @@ lowest hashes of doc_id); every document is scored from its whole text. Weights
 A document's features are its distinct lower-case words without outer punctuation, their first four and five
 letters, the distinct shapes of its words, and bucketed shares of shapes and of distinct words. Only buckets whose
 documents' mean grade is SIGNIFICANT standard errors from the sample's take part. Defined cases: null text is
-empty; a text without words is rejected with grade 0; rows that repeat are scored alike; labels without text or
+empty; very long texts are read whole; extra columns are ignored; an empty table gives an empty result; a text without words is rejected with grade 0; rows that repeat are scored alike; labels without text or
 grade are ignored; with labels of fewer than two grades every text with words is kept.
 """
 
@@ -130,8 +130,10 @@ def fit(rows: list[tuple[list[int], int]], epochs: int = 160, rate: float = 0.06
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Fit on at most `sample` labelled documents."""
     grade = labels.select(F.col("doc_id").alias("_id"), graded(F.col("quality"), F.col("toxic")).alias("_g")).where("_g is not null and _id is not null")
-    grade = grade.orderBy(F.xxhash64("_id"), "_id", "_g").limit(sample)
+    grade = grade.distinct().orderBy(F.xxhash64("_id"), "_id", "_g").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(grade), F.col("doc_id") == F.col("_id")).where("text is not null")
+    # rows that repeat an id count once, so that no more than `sample` rows are collected
+    rows = rows.groupBy("doc_id", "_g").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Features()

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD_RE, materialize
+from .common import WORD_RE, fresh, materialize
 
 MAX_RATE = 3
 NEWTON_STEPS = 64
@@ -153,7 +153,8 @@ def _repair(taken: DataFrame, max_rate: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document's row, as often as its copies say."""
-    plan = mix_sources(docs).groupBy(F.col("doc_id").alias("_d")).agg(F.max("copies").cast("int").alias("_copies"))
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_d"))).where("_copies > 0")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    """The mix itself: each document's row, as often as its copies say; columns of any name pass through."""
+    name, copies, nth = (fresh(docs, c) for c in ("mix_id", "mix_copies", "mix_nth"))
+    plan = mix_sources(docs).groupBy(F.col("doc_id").alias(name)).agg(F.max("copies").cast("int").alias(copies))
+    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(name))).where(F.col(copies) > 0)
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -313,3 +313,34 @@ def test_decontamination_of_names_at_sentence_starts(spark):
     docs = spark.createDataFrame([(1, same), (2, "Maria bought nothing for a long time and then she left for good."), (None, item), (4, None)], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in decontaminate.contaminated(docs, bench).collect()) == ["1", "None"]
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_stages_pass_columns_of_any_name(spark):
+    names = ["bad_id", "mix_id", "mix_copies", "mix_nth", "keep_id", "keep_mark", "_keep", "_bad", "_d", "size"]
+    rows = [(k, t, "s", *range(len(names))) for k, t in [(1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, "ONE two three four five six seven"), (3, None), (None, "other words of a text without a name")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    bench = spark.createDataFrame([(1, "other words of a text without a name"), (2, None)], "item_id long, text string")
+    one, clean, mix = jaccard_join.one_of_each(df), decontaminate.without_leaks(df, bench), source_mixing.mixed_documents(df)
+    assert one.columns == clean.columns == mix.columns == df.columns
+    assert sorted(str(r.doc_id) for r in one.collect()) == ["1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in clean.collect()) == ["1", "1", "2", "3"]
+    assert {r.doc_id for r in mix.collect()} <= {1, 2, None}
+    for f in (jaccard_join.one_of_each, lambda d: decontaminate.without_leaks(d, bench), source_mixing.mixed_documents):
+        assert f(df.limit(0)).count() == 0
+
+
+def test_ids_beyond_sixteen_bits_are_refused():
+    for bad in ([1 << 16], [-1]):
+        with pytest.raises(ValueError):
+            range_coder.encode(np.array(bad))
+
+
+def test_quality_with_repeats_nulls_and_no_rows(spark):
+    rows = [(k % 40, None if k % 41 == 40 else ("good plain words here", "BAD!! BAD!! BAD!!")[k % 2], 1) for k in range(200)] + [(None, "good plain words here", 1), (99, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(40)] + [(0, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    model = ordinal_quality.train(df, labels)
+    got = ordinal_quality.score(df, model).collect()
+    assert len(got) == len(rows) and all(r.keep == bool(t and t.startswith("good")) for r, (_, t, _) in zip(got, rows, strict=True))
+    assert ordinal_quality.kept(df, model).columns == df.columns
+    assert ordinal_quality.score(df.limit(0), ordinal_quality.train(df.limit(0), labels)).count() == 0
