@@ -19,6 +19,7 @@ CAPABILITIES = {
     "anti_analysis": (["IsDebuggerPresent", "OutputDebugString", "CheckRemoteDebuggerPresent"], 3, 8),
     "dynamic_loading": (["LoadLibraryW", "LoadLibraryA", "GetProcAddress"], 2, 10),
 }
+# Capabilities by weight, and the names that prove injection.
 SOFT = ["anti_analysis", "persistence", "dynamic_loading"]
 HIGH_IMPACT = ["process_injection", "networking", "crypto"]
 STRONG_INJECTION = ["VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread", "CreateRemoteThreadEx", "NtWriteVirtualMemory", "NtCreateThreadEx"]
@@ -31,6 +32,7 @@ STRING_PATTERNS = {
     "commands": (["cmd.exe", "powershell", "rundll32", "wmic", "schtasks", "bitsadmin", "certutil"], 20, "execution"),
     "anti_analysis": (["sandbox", "debugger", "vmware", "virtualbox", "wireshark", "procmon", "ollydbg"], 20, "anti_analysis"),
 }
+# Marks of real network use, and words of vendors.
 STRONG_NETWORK_MARKS = ["http://", "https://", "user-agent", "host:", "cookie"]
 VENDOR_KEYWORDS = ["microsoft", "notepad", "richedit", "comdlg", "print", "page setup", "font", "open file", "save file"]
 # Behaviour role -> API names, as they are probed.
@@ -43,6 +45,7 @@ ROLE_APIS = {
     "execution": ["CreateProcessW", "CreateProcessA", "WinExec", "ShellExecuteW", "ShellExecuteA"],
     "injection": ["VirtualAlloc", "VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread", "CreateRemoteThreadEx", "NtWriteVirtualMemory", "NtCreateThreadEx"],
 }
+# Section names, suspicious, of code, common.
 SUSPICIOUS_SECTIONS = ["UPX0", "UPX1", "UPX2", ".aspack", ".adata", ".packed", ".petite", ".boom", ".stub", ".themida", ".vmp0", ".vmp1", ".vmp2"]
 CODE_SECTIONS = [".text", "text", ".code", "code"]
 COMMON_SECTIONS = [".text", ".rdata", ".data", ".rsrc", ".idata", ".reloc", "text", ".code", "code"]
@@ -60,6 +63,30 @@ INTERPRETATIONS = {
     "malware": "malware-oriented risk dominates, so the currently visible static indicators are already materially suspicious",
 }
 INTERPRETATION_ELSE = "malware and packing signals should be balanced against the benign context already visible in the raw report"
+# Packer indicator -> points, of the file itself and of its entry code.
+PACKER_INDICATORS = {"suspicious_sections": 20, "entrypoint_in_suspicious_section": 25, "entrypoint_in_rwx_section": 20, "very_small_import_surface": 15, "small_import_surface": 8, "runtime_unpacking_apis": 20, "nonstandard_executable_sections": 10, "high_entropy_sections": 12, "high_entropy_executable_sections": 18, "high_entropy_entrypoint_section": 15, "high_entropy_plus_small_import_surface": 10}
+PACKER_ENTRY_INDICATORS = {"strong_oep_candidate": 15, "popad_backed_oep_transition": 10, "late_stub_handoff": 8}
+# Section names that hold resources.
+RESOURCE_SECTIONS = [".rsrc", "rsrc", "resource"]
+# Roles of a path (all of them) -> note, in order; then the two notes for paths without such roles.
+PATH_NOTES = [
+    (["loader", "execution"], "possible loader-to-execution handoff"), (["injection"], "possible injection-oriented control path"), (["network", "persistence"], "possible network-and-persistence chain"),
+    (["anti_analysis"], "analysis-aware stage present"), (["crypto"], "crypto-related processing stage present"),
+]
+PATH_DISPATCHER = "control likely fans out through dispatcher-like logic"
+PATH_PLAIN = "control-flow relationship reconstructed without explicit behavioral role evidence"
+# Capability -> behaviour, role pair -> behaviour, and the behaviour of three-hop flows, in order.
+CAPABILITY_BEHAVIORS = {"process_injection": "possible process injection workflow", "networking": "network communication capability present", "persistence": "persistence-related activity present", "anti_analysis": "anti-analysis or debugger-awareness present", "crypto": "cryptographic functionality present"}
+PAIR_BEHAVIORS = [(["loader", "execution"], "loader/execution chain likely present"), (["network", "persistence"], "network + persistence combination detected"), (["loader", "injection"], "dynamic loading plus injection primitives detected")]
+FLOW_BEHAVIOR = "multi-stage internal control flow detected"
+# Derived capability -> confidence and what it asks for.
+DERIVED_RULES = [
+    {"name": "in_memory_loader", "confidence": "high", "requires_all": ["process_injection", "dynamic_loading"], "requires_high_confidence": ["process_injection"], "min_high_risk_functions": 1},
+    {"name": "persistent_networked_payload", "confidence": "medium", "requires_all": ["networking", "persistence"], "min_high_risk_functions": 1},
+    {"name": "evasion_aware_injector", "confidence": "medium", "requires_all": ["anti_analysis", "process_injection"], "requires_high_confidence": ["process_injection"]},
+    {"name": "packed_loader_stub", "confidence": "medium", "requires_any": ["dynamic_loading"], "require_likely_packed": True, "require_high_entropy_executable": True},
+    {"name": "staged_injector", "confidence": "high", "requires_all": ["process_injection", "dynamic_loading"], "requires_high_confidence": ["process_injection"], "min_top_function_score": 30},
+]
 
 
 def canonical_name(api: str) -> str:

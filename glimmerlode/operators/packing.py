@@ -70,3 +70,61 @@ def packer_family(sections: DataFrame, symbols: DataFrame, patterns: DataFrame,
     has = lambda *n: F.coalesce(F.arrays_overlap("names", F.array(*[F.lit(x) for x in n])), F.lit(False))
     family = F.when(has("UPX0", "UPX1", "UPX2"), "UPX-like").when(has(".aspack"), "ASPack-like").when((F.coalesce("found", F.lit(0)) > 0) & F.col("resolves"), "generic runtime unpacking").when(F.col("entry_section").isin(rules.SUSPICIOUS_SECTIONS), "packed/loader stub section").otherwise("unknown")
     return rows.select("sample_id", family.alias("family"))
+
+
+def packer_features(sections: DataFrame, entry: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One feature row per entry: sections with entropy, entropy_class and suspicious; entry: sample_id, entry_section.
+
+    The entry's own section is the first of its name; without one its entropy is null and its flags are false.
+    """
+    high, lower = F.coalesce(F.col("entropy") >= 7.2, F.lit(False)), F.lower(F.coalesce("name", F.lit("")))
+    resource, marked = lower.isin(rules.RESOURCE_SECTIONS), F.col("entropy_class") == "high"
+    counts = {"suspicious": F.col("suspicious"), "odd_execute": F.col("execute") & ~lower.isin(rules.CODE_SECTIONS), "high": high, "high_execute": high & F.col("execute"), "resource_high": marked & resource, "other_high": marked & ~resource, "class_high_execute": marked & F.col("execute")}
+    own = F.when(F.col("name") == F.col("entry_section"), F.struct("ord", "entropy", "write", "execute"))
+    rows = entry.join(sections, "sample_id", "left").groupBy("sample_id", "entry_section").agg(F.min(own).alias("own"), *[F.count_if(t).cast("int").alias(n) for n, t in counts.items()])
+    api = C.canonical(F.col("symbol"))
+    seen = symbols.groupBy("sample_id").agg(F.count("*").cast("int").alias("symbols"), F.max(api.isin("GetProcAddress", "LoadLibrary")).alias("resolver"), F.max(api.isin("VirtualAlloc", "VirtualAllocEx", "VirtualProtect", "VirtualProtectEx")).alias("memory"))
+    rows = rows.join(seen, "sample_id", "left").fillna(0, ["symbols"]).fillna(False, ["resolver", "memory"])
+    flag = lambda c: F.coalesce(F.col(f"own.{c}"), F.lit(False)).alias(f"entry_{c}")
+    return rows.select("*", F.col("own.entropy").alias("entry_entropy"), flag("write"), flag("execute")).drop("own")
+
+
+def _cut(score: F.Column, high: int, medium: int) -> F.Column:
+    return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
+
+
+def _scored(rows: DataFrame, table: dict[str, int], tests: dict[str, F.Column]) -> tuple[F.Column, F.Column]:
+    held = {n: F.coalesce(tests[n], F.lit(False)) for n in table}
+    return sum((F.when(held[n], p).otherwise(0) for n, p in table.items()), F.lit(0)), C.compact(*[F.when(held[n], n) for n in table])
+
+
+def packer_score(rows: DataFrame) -> DataFrame:
+    """Adds indicators, packer (points), packed and packer_confidence to feature rows."""
+    some, few, small = F.col("high") > 0, F.col("symbols") < 20, F.col("symbols") < 40
+    points, names = _scored(rows, rules.PACKER_INDICATORS, {
+        "suspicious_sections": F.col("suspicious") > 0, "entrypoint_in_suspicious_section": F.col("entry_section").isin(rules.SUSPICIOUS_SECTIONS), "entrypoint_in_rwx_section": F.col("entry_write") & F.col("entry_execute"),
+        "very_small_import_surface": few, "small_import_surface": small & ~few, "runtime_unpacking_apis": F.col("resolver") & F.col("memory"), "nonstandard_executable_sections": F.col("odd_execute") > 0,
+        "high_entropy_sections": some, "high_entropy_executable_sections": F.col("high_execute") > 0, "high_entropy_entrypoint_section": F.col("entry_entropy") >= 7.2, "high_entropy_plus_small_import_surface": some & small,
+    })
+    return rows.withColumn("packer", points).withColumn("indicators", names).withColumn("packed", F.col("packer") >= 45).withColumn("packer_confidence", _cut(F.col("packer"), 75, 40))
+
+
+def packer_enrichment(rows: DataFrame) -> DataFrame:
+    """Adds the entry code's points: pattern_score, and oep, popad and late of the best candidate (null: none)."""
+    there = F.col("oep").isNotNull()
+    points, names = _scored(rows, rules.PACKER_ENTRY_INDICATORS, {"strong_oep_candidate": F.col("oep") >= 35, "popad_backed_oep_transition": there & F.col("popad"), "late_stub_handoff": there & F.col("late")})
+    rows = rows.withColumn("packer", F.col("packer") + F.coalesce("pattern_score", F.lit(0)) + points).withColumn("indicators", F.concat("indicators", names))
+    rows = rows.withColumn("packed", F.col("packer") >= 45).withColumn("packer_confidence", _cut(F.col("packer"), 75, 40))
+    return rows.withColumn("family", F.when(~F.col("packed") & (F.col("family") == "unknown"), "none").otherwise(F.col("family")))
+
+
+def benign_packer(rows: DataFrame) -> DataFrame:
+    """Takes points off for resource-only entropy and desktop programs, clears generic hints and cuts confidence anew."""
+    resources = (F.col("resource_high") > 0) & (F.col("other_high") == 0)
+    desktop = (F.col("ui") >= 10) & (F.col("entry_section") == ".text") & (F.col("class_high_execute") == 0)
+    generic = F.col("family") == "generic runtime unpacking"
+    score = F.greatest(F.col("packer") - F.when(resources, 10).otherwise(0) - F.when(desktop, 8).otherwise(0), F.lit(0))
+    cleared = F.when((F.col("ui") >= 8) & (F.col("high_risk") == 0) & generic, "none").otherwise(F.col("family"))
+    rows = rows.withColumn("family", cleared).withColumn("packer", score).withColumn("packed", F.col("packer") >= 45).withColumn("packer_confidence", _cut(F.col("packer"), 55, 30))
+    weak = F.coalesce("family", F.lit("")).isin("unknown", "generic runtime unpacking", "")
+    return rows.withColumn("family", F.when(~F.col("packed") & weak, "none").otherwise(F.col("family"))).withColumn("status", F.when(F.col("packed"), "packer-like indicators detected").otherwise("executable does not appear packed"))

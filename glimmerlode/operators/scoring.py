@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
@@ -55,33 +55,38 @@ def conditions() -> dict[str, Column]:
 
 
 def compile_rule(rule: dict) -> Column | None:
-    """Boolean Column of a score rule: its optional predicates, all of them. None if it has no predicate."""
+    """Boolean Column of a score or derived rule: its optional predicates, all of them. None if it has no predicate."""
     known = conditions()
     tests: list[Column] = []
     if rule.get("condition"):
         tests.append(known.get(rule["condition"], F.lit(False)))
-    flags = {"require_likely_packed": "packed"}
+    flags = {"require_likely_packed": F.col("packed"), "require_high_entropy_executable": F.col("exec_entropy") >= 1}
     least = {"min_high_risk_functions": "high_risk", "min_top_function_score": "max_top", "min_benign_contexts": "contexts", "min_suspicious_sections": "suspicious_sections"}
     most = {"max_suspicious_api_count": "apis", "max_top_function_score": "max_top"}
-    tests += [F.col(c) == F.lit(rule[k]) for k, c in flags.items() if rule.get(k) is not None]
+    tests += [test == F.lit(rule[k]) for k, test in flags.items() if rule.get(k) is not None]
     tests += [F.col(c) >= rule[k] for k, c in least.items() if rule.get(k) is not None]
     tests += [F.col(c) <= rule[k] for k, c in most.items() if rule.get(k) is not None]
     tests += [F.col(_flag(c)) for c in rule.get("requires_all", [])]
     if rule.get("requires_any"):
         tests.append(reduce(or_, [F.col(_flag(c)) for c in rule["requires_any"]]))
     tests += [~F.col(_flag(c)) for c in rule.get("forbids", [])]
-    return reduce(lambda a, b: a & b, tests) if tests else None
+    tests += [F.col(_flag(c)) & F.col(f"{_flag(c)}_high") for c in rule.get("requires_high_confidence", [])]
+    return reduce(and_, tests) if tests else None
 
 
 def _flag(capability: str) -> str:
     return "injection" if capability == "process_injection" else capability
 
 
-def calibrate(rows: DataFrame) -> DataFrame:
-    """Adds calibrated, fired (names in rule order) and band."""
-    known = conditions()
-    delta = points(*[(known[n], d) for n, d in rules.SCORE_RULES.items()])
-    rows = rows.withColumn("fired", C.compact(*[F.when(known[n], n) for n in rules.SCORE_RULES])).withColumn("calibrated", F.greatest(F.col("score") + delta, F.lit(0)))
+def calibrate(rows: DataFrame, score_rules: list[dict] | None = None) -> DataFrame:
+    """Adds calibrated, fired (ids in rule order) and band. score_rules: as read by rule_files, else the built-in ones."""
+    if score_rules is None:
+        score_rules = [{"id": n, "condition": n, "delta": d} for n, d in rules.SCORE_RULES.items()]
+    tests = [(r, compile_rule(r)) for r in score_rules]
+    tests = [(r, t) for r, t in tests if t is not None]
+    fired = C.compact(*[F.when(t, r["id"]) for r, t in tests]) if tests else F.array().cast("array<string>")
+    delta = points(*[(t, r["delta"]) for r, t in tests]) if tests else F.lit(0)
+    rows = rows.withColumn("fired", fired).withColumn("calibrated", F.greatest(F.col("score") + delta, F.lit(0)))
     return rows.withColumn("band", C.report_band(F.col("calibrated")))
 
 
@@ -105,17 +110,11 @@ def packing_risk(rows: DataFrame) -> DataFrame:
     return rows.withColumn("packing", F.greatest(score, F.lit(0))).withColumn("packing_level", C.report_band(F.col("packing")))
 
 
-def derived_capabilities(rows: DataFrame) -> DataFrame:
-    """Adds the array derived."""
-    inj, load, high = F.col("injection"), F.col("dynamic_loading"), F.col("injection_high")
-    named = {
-        "in_memory_loader": inj & load & high & (F.col("high_risk") >= 1),
-        "persistent_networked_payload": F.col("networking") & F.col("persistence") & (F.col("high_risk") >= 1),
-        "evasion_aware_injector": F.col("anti_analysis") & inj & high,
-        "packed_loader_stub": load & F.col("packed") & (F.col("exec_entropy") >= 1),
-        "staged_injector": inj & load & high & (F.col("max_top") >= 30),
-    }
-    return rows.withColumn("derived", C.compact(*[F.when(t, n) for n, t in named.items()]))
+def derived_capabilities(rows: DataFrame, derived_rules: list[dict] | None = None) -> DataFrame:
+    """Adds the array derived: names of the rules that hold, in rule order. A rule without predicates never does."""
+    tests = [(r["name"], compile_rule(r)) for r in (rules.DERIVED_RULES if derived_rules is None else derived_rules)]
+    found = [F.when(t, n) for n, t in tests if t is not None]
+    return rows.withColumn("derived", C.compact(*found) if found else F.array().cast("array<string>"))
 
 
 def decide(rows: DataFrame) -> DataFrame:

@@ -383,3 +383,6 @@ z AS (SELECT sample_id, indicator, row_number() OVER (PARTITION BY sample_id ORD
 def top_indicators(spark, sf):
     s = bind.symbols(spark, sf)
     return views.top_indicators(apis.detect_capabilities(s), apis.suspicious_apis(s), enriched(spark, sf), strings.score_strings(bind.strings(spark, sf))).select("sample_id", big("rank"), "indicator")
+
+
+from . import stories  # noqa: E402, F401  (registers its queries in the same tables)

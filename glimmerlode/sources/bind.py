@@ -55,6 +55,18 @@ def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.unionByName(texts).unionByName(extra)
 
 
+def string_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bag of references from functions to strings: sample_id, name, address."""
+    lines = read(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("fn"), F.concat(F.lit("x"), (F.col("l_suppkey") % len(EXAMPLES)).cast("string")).alias("address"))
+    return lines.join(functions(spark, sf_dir).select("sample_id", "fn", "name"), "fn").select("sample_id", "name", "address")
+
+
+def sample_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strings that a sample's functions reference: sample_id, address, value."""
+    refs = string_refs(spark, sf_dir).select("sample_id", "address").distinct()
+    return refs.select("sample_id", "address", pick(EXAMPLES, F.substring("address", 2, 9).cast("int")).alias("value"))
+
+
 EXAMPLES = ["HKEY_LOCAL_MACHINE run key", "regsvr32 and RunOnce", "c:\\temp only", "C:\\Users\\x\\AppData\\y.exe", "start cmd.exe and powershell", "vmware or wireshark", "kernel32.dll", "abc", "Microsoft print setup with cookie", "windows.security.aes microsoft.com", "plain www. site", "u\"quoted .bat\"", "prop:system.rsa"]
 
 
@@ -86,3 +98,14 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 9).cast("int").alias("apis"), (k % 4).cast("int").alias("contexts"), ((k * 11) % 60).cast("int").alias("negative"), (k % 2 == 0).alias("injection"), (k % 3 == 1).alias("networking"), (k % 7 == 0).alias("crypto"), (k % 4 == 1).alias("persistence"), (k % 5 == 2).alias("anti_analysis"), (k % 6 < 3).alias("dynamic_loading"),
         (k % 8 < 3).alias("injection_high"), ((k % 11) % 4).cast("int").alias("local_api"), (k % 10 < 3).alias("networking_high"), (k % 9 < 2).alias("crypto_high"), ((k * 17) % 90).cast("int").alias("summary_packer_score"), pick(FAMILIES, k % len(FAMILIES)).alias("family"), F.when(k % 2 == 0, "UPX").otherwise("").alias("summary_family"), (k % 5 == 1).cast("int").alias("notes"), F.split(pick(HIGH_NAMES, k % len(HIGH_NAMES)), "[|]").alias("all_names"), (k % 10).cast("int").alias("suspicious_sections"), (k % 3).cast("int").alias("high_entropy"), (k % 5 == 4).cast("int").alias("exec_entropy"), (5.5 + (k % 25) / 10.0).cast("double").alias("entry_entropy"), ((k * 3) % 50).cast("int").alias("oep"), (k % 13 != 0).alias("valid"),
     ).withColumn("high_names", F.filter("all_names", lambda n: n != "")).drop("all_names")
+
+
+def packer_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of packer features per customer, so that every branch of the packer table is met."""
+    k = F.col("c_custkey")
+    at = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), (k % len(values)).cast("int"))
+    return read(spark, sf_dir, "customer").select(
+        k.alias("sample_id"), (k % 3).cast("int").alias("suspicious"), at([".text", "UPX1", "CODE"], "string").alias("entry_section"), (k % 5 < 2).alias("entry_write"), (k % 2 == 0).alias("entry_execute"), (k % 61).cast("int").alias("symbols"), (k % 3 == 1).alias("resolver"), (k % 7 < 3).alias("memory"),
+        (k % 4 == 1).cast("int").alias("odd_execute"), (k % 11 % 3).cast("int").alias("high"), (k % 11 % 3 % 2).cast("int").alias("high_execute"), at([None, 6.0, 7.19, 7.2, 7.9], "double").alias("entry_entropy"), at([0, 0, 20, 55], "int").alias("pattern_score"), at([None, 10, 34, 35, 60, 20, 0], "int").alias("oep"), (k % 5 == 1).alias("popad"), (k % 3 == 2).alias("late"),
+        at(["unknown", "generic runtime unpacking", "UPX-like", "packed/loader stub section"], "string").alias("family"), (k % 13).cast("int").alias("ui"), (k % 17 % 2).cast("int").alias("high_risk"), (k % 19 % 2).cast("int").alias("resource_high"), (k % 23 % 3).cast("int").alias("other_high"), (k % 29 % 2).cast("int").alias("class_high_execute"),
+    )
