@@ -480,18 +480,40 @@ class _Join:
         rows = members.join(self.classes.select("cid", column), "cid").repartition(*_PLACE).sortWithinPartitions(*_PLACE)
         return materialize(rows.mapInArrow(_block_pairs(self.percent, column), _FOUND), "blocks")
 
+    def tiled(self, found: DataFrame) -> DataFrame:
+        """The members of dense blocks, dealt anew where that sends fewer rows.
+
+        Dense blocks of different keys often hold much the same classes. Blocks that share classes, directly or through
+        others, form a cluster; a cluster's classes cut into tiles of every two BLOCKs hold each pair of its blocks once,
+        so it is dealt in tiles if these have fewer members than its blocks have. Other clusters keep their blocks.
+        """
+        members = found.where("cid is not null").select(*_MEMBER)
+        lead = members.groupBy(*_PLACE).agg(F.min("cid").alias("a"))
+        named = components(members.join(lead, list(_PLACE)).where("a <> cid").select("a", F.col("cid").alias("b")).distinct()).withColumnRenamed("comp", "cluster")
+        per_class = members.groupBy("cid").agg(F.count("*").alias("places"), F.min("comp").alias("comp"), F.min("n").alias("n")).join(named, "cid")
+        sizes = per_class.groupBy("cluster").agg(F.sum("places").alias("places"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("classes"))
+        sizes = sizes.select("cluster", "blocks", (F.col("classes") * F.col("blocks") < F.col("places")).alias("fewer"))
+        per_class = materialize(per_class.join(sizes, "cluster"), "clusters")
+        tiles = per_class.where("fewer").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tiles = tiles.select(F.col("cluster").alias("key"), F.lit(-1).cast("long").alias("bin"), F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", F.lit(True).alias("home"), "cid", "comp", "n")
+        rest = members.join(per_class.where("fewer").select("cid"), "cid", "left_anti").select(*_MEMBER)
+        out = materialize(tiles.unionByName(rest), "tiles")
+        discard(per_class)
+        return out
+
     def more_links(self, label: DataFrame) -> DataFrame:
         """Links that join the components of `label` wherever any link does."""
         by_point = self.open_pairs(label)
-        by_part = self.blocks(by_point.where("cid is not null").select(*_MEMBER), "part")
+        dense = self.tiled(by_point)
+        by_part = self.blocks(dense, "part")
         found = by_point.unionByName(by_part)
         likely = self.verify(found.where("not sure").select("a", "b").distinct(), "links-2")
         members = by_part.where("cid is not null").select(*_MEMBER)
         texts = self.texts(members.select(F.col("cid").alias("a"), F.lit(None).cast("long").alias("b")))
-        dense = members.join(texts, "cid").repartition(*_PLACE).sortWithinPartitions(*_PLACE)
-        dense = dense.mapInArrow(_dense_links(self.width, self.percent), "a long, b long")
-        out = materialize(likely.unionByName(by_part.where("sure").select("a", "b")).unionByName(dense).distinct(), "links-3")
-        discard(by_point, by_part, likely, texts)
+        found = members.join(texts, "cid").repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+        found = found.mapInArrow(_dense_links(self.width, self.percent), "a long, b long")
+        out = materialize(likely.unionByName(by_part.where("sure").select("a", "b")).unionByName(found).distinct(), "links-3")
+        discard(by_point, dense, by_part, likely, texts)
         return out
 
     def labels(self) -> DataFrame:
