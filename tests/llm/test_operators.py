@@ -47,7 +47,7 @@ def test_exact_dedup(docs, rows):
             assert (g.keep_id, g.group_size, g.kept, g.text_sha256) == (min(same), len(same), g.doc_id == min(same), hashlib.sha256(norm[g.doc_id].encode()).hexdigest())
 
 
-def test_jaccard_components(docs, rows):
+def joined_by_brute_force(rows):
     def shingles(t):
         w = (t or "").lower().split()
         return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
@@ -65,8 +65,40 @@ def test_jaccard_components(docs, rows):
             if a < b and s[a] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
                 x, y = top(a), top(b)
                 up[max(x, y)] = min(x, y)
+    return {k: (len(v), top(k)) for k, v in s.items()}
+
+
+def test_jaccard_components(docs, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
-    assert got == {k: (len(v), top(k)) for k, v in s.items()}
+    assert got == joined_by_brute_force(rows)
+
+
+def test_jaccard_tiles_of_crowds(spark, monkeypatch):
+    """Many texts that nearly reach the threshold, some that do: their blocks are dealt anew in several tiles."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for k in range(60):
+        t = list(base)
+        for at in r.sample(range(len(t)), 3 if k % 6 else 1):
+            t[at] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 24)
+    dealt, tiled = [], jaccard_join._Join.tiled
+
+    def spied(self, found):
+        before = found.where("cid is not null").count()
+        out = tiled(self, found)
+        dealt.append((before, out.count(), out.where("i < j").count(), out.where("bin = -1").count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join._Join, "tiled", spied)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = joined_by_brute_force(rows)
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
+    before, after, across, tiles = dealt[0]
+    assert 0 < after < before and across and tiles
 
 
 def check_spans(spark, texts, length=400, crowd=512):
