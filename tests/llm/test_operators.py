@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from glimmerlode.llm import block_labeller, chat_windows, decontaminate, exact_dedup, jaccard_join, ordinal_quality, range_coder, repeated_spans, secret_scan, source_mixing, suffix_array, token_files
+from glimmerlode.llm import block_labeller, chat_windows, decontaminate, exact_dedup, jaccard_join, ordinal_quality, piece_ids, range_coder, repeated_spans, secret_scan, source_mixing, suffix_array, token_files
 
 SCHEMA = "doc_id long, text string, source string, n long, cid long"
 
@@ -164,6 +164,22 @@ def test_token_files(docs, rows, spark):
         at += len(ids)
 
 
+def test_piece_ids_equal_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer(None)
+    t, r = Tokenizer.from_file(path), random.Random(3)
+    signs = "abzABZ019  \n\t'sStTreVEmlLd,.!_-<|>éÉİJßΣς中\u0301\u030c\u00a0\u3000\x01\x1c\x85\x0b\x0cǰK½٣"
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(60))) for _ in range(3000)] + ["x <|endoftext|> y", "<|startoftext|>", " ", "", "ab " * 300]
+    for chunk, memo in ((1 << 22, 600_000), (50, 100)):
+        monkeypatch.setattr(piece_ids, "CHUNK", chunk)
+        monkeypatch.setattr(piece_ids, "MEMO", memo)
+        got = piece_ids.PieceIds(path).encode(texts)
+        assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert piece_ids.PieceIds(path).encode([]) == []
+    assert piece_ids.PieceIds(path, whole=True).encode(["a B"])[0].tolist() == t.encode("a B", add_special_tokens=False).ids
+
+
 def test_chat_windows(spark):
     turns = [(1, i, ("system", "user", "assistant")[i and 1 + (i + 1) % 2], f"text {i} <|im_end|> <\\| " + "w " * (i * 40), 0) for i in range(12)] + [(2, 0, None, None, 0), (2, 0, "assistant", "", 0)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, window long")
