@@ -80,3 +80,42 @@ def held(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Columns computed once: behind a generator later expressions read them instead of repeating them."""
     made = F.struct(*[c.alias(n) for n, c in columns.items()])
     return rows.select("*", F.explode(F.array(made)).alias("_held")).select(*[c for c in rows.columns if c not in columns], *[F.col(f"_held.{n}").alias(n) for n in columns])
+
+
+# What counts as white space, and as no value.
+SPACE = " \t\n\r\x0b\x0c"
+NO_VALUE = ("none", "unknown", "n/a", "na", "null")
+
+
+def trimmed(value: Column) -> Column:
+    return F.trim(value, F.lit(SPACE))
+
+
+def joined(items: Column, separator: str = ", ") -> Column:
+    """The items that are neither null nor blank, joined; empty for none."""
+    return F.coalesce(F.array_join(F.filter(items, lambda x: F.coalesce(trimmed(x), F.lit("")) != ""), separator), F.lit(""))
+
+
+def joined_or_none(items: Column) -> Column:
+    """All items joined, `none` for an empty or null list."""
+    return F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, "none").otherwise(F.array_join(F.coalesce(items, F.array().cast("array<string>")), ", "))
+
+
+def meaningful(value: Column) -> Column:
+    """The trimmed value, empty where it only says that there is none."""
+    v = F.coalesce(trimmed(value), F.lit(""))
+    return F.when(F.lower(v).isin(*NO_VALUE), "").otherwise(v)
+
+
+def shortened(value: Column, most: int) -> Column:
+    """At most `most` characters, the last three of a cut text being dots; a bound of 0 or less cuts nothing."""
+    if most <= 0:
+        return value
+    cut = F.substring(value, 1, most) if most <= 3 else F.concat(F.substring(value, 1, most - 3), F.lit("..."))
+    return F.when(F.length(value) <= most, value).otherwise(cut)
+
+
+def tidy_list(items: Column) -> Column:
+    """Trimmed items without blanks and repeats, in order; an empty list for null."""
+    clean = F.filter(F.transform(items, trimmed), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.coalesce(F.array_distinct(clean), F.array().cast("array<string>"))

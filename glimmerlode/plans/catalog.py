@@ -385,4 +385,4 @@ def top_indicators(spark, sf):
     return views.top_indicators(apis.detect_capabilities(s), apis.suspicious_apis(s), enriched(spark, sf), strings.score_strings(bind.strings(spark, sf))).select("sample_id", big("rank"), "indicator")
 
 
-from . import stories  # noqa: E402, F401  (registers its queries in the same tables)
+from . import places, stories  # noqa: E402, F401  (register their queries in the same tables)
