@@ -27,7 +27,8 @@ BROADCAST_ROWS = 200_000
 #: Fixed unit words.
 UNITS = "mm cm m km mg g kg lb oz ml l s ms min h hr hours hour minutes minute seconds second days day weeks week years year meters metres meter metre miles mile feet foot inches inch grams gram kilograms kilogram liters litres dollars dollar euros euro cents cent percent degrees degree mph kph".split()
 NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
-NAME = r"(?<=[\p{Ll}\p{N}][,;:]? )\p{Lu}\p{Ll}+(?![\p{L}\p{M}\p{N}])|(?<=^|^ |[.!?] )\p{Lu}\p{Ll}+(?= \p{Ll})"
+#: Only capitals are looked at; behind them the alternatives see what they would see alone.
+NAME = r"(?=\p{Lu})(?:(?<=[\p{Ll}\p{N}][,;:]? )\p{Lu}\p{Ll}+(?![\p{L}\p{M}\p{N}])|(?<=^|^ |[.!?] )\p{Lu}\p{Ll}+(?= \p{Ll}))"
 #: Placeholders from the private use area: number, unit, name.
 NUM, UNIT, PERSON = "\ue000", "\ue001", "\ue002"
 #: White space (any of Unicode) other than one space, and placeholders of the text itself.

@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glimmerlode.llm import block_labeller, chat_windows, decontaminate, exact_dedup, jaccard_join, ordinal_quality, piece_ids, range_coder, repeated_spans, secret_scan, source_mixing, suffix_array, token_files
 
@@ -363,6 +365,25 @@ def test_decontamination_of_names_at_sentence_starts(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_names_are_looked_for_at_capitals_only(spark):
+    plain = r"(?<=[\p{Ll}\p{N}][,;:]? )\p{Lu}\p{Ll}+(?![\p{L}\p{M}\p{N}])|(?<=^|^ |[.!?] )\p{Lu}\p{Ll}+(?= \p{Ll})"
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab  .,:AB7é\u00c9\u0301\U00010400\U00010428\n") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    same = rows.select(F.regexp_replace("text", decontaminate.NAME, "#").alias("a"), F.regexp_replace("text", plain, "#").alias("b")).collect()
+    assert all(x.a == x.b for x in same) and any("#" in x.a for x in same)
+    find = lambda pattern: spark._jvm.java.util.regex.Pattern.compile(pattern)
+    text, took = "some words in lower case, " * 40_000, {}
+    for pattern in (r"\p{Lu}\p{Ll}+", decontaminate.NAME):
+        runs = []
+        for _ in range(4):
+            began = time.perf_counter()
+            assert not find(pattern).matcher(text).find()
+            runs.append(time.perf_counter() - began)
+        took[pattern] = min(runs)
+    assert took[decontaminate.NAME] < 3 * took[r"\p{Lu}\p{Ll}+"]
+
+
 def test_stages_pass_columns_of_any_name(spark):
     names = ["bad_id", "mix_id", "mix_copies", "mix_nth", "keep_id", "keep_mark", "_keep", "_bad", "_d", "size"]
     rows = [(k, t, "s", *range(len(names))) for k, t in [(1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, "ONE two three four five six seven"), (3, None), (None, "other words of a text without a name")]]
