@@ -144,6 +144,23 @@ def test_suffix_array(monkeypatch):
             assert suffix_array.suffix_array(t, 256).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
 
 
+def test_induction_of_few_and_of_many_entries(monkeypatch):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(90)]
+    b = "\0".join(" ".join(r.choices(words, k=20)) + " of the same end " + y for y in ("a" * 40, "bc") * 20).encode()
+    t = np.frombuffer(b, np.uint8).astype(np.uint16)
+    want = sorted(range(len(b)), key=lambda i: b[i:])
+    for few, small in ((0, 1024), (32, 1024), (10**6, 1024), (32, 0)):
+        monkeypatch.setattr(suffix_array, "FEW", few)
+        monkeypatch.setattr(suffix_array, "SMALL_ALPHABET", small)
+        assert suffix_array.suffix_array(t, 256).tolist() == want
+    num, s, e, key, off = repeated_spans.anchors([b, b"", b[:500]], 400)
+    assert set(num.tolist()) == {0, 2} and len(key) == len(set(zip(num.tolist(), (s + off).tolist(), strict=True)))
+    for i, size in ((0, len(b)), (2, 500)):  # every string has one anchor, which lies within it
+        assert [x for a, z in zip(s[num == i], e[num == i], strict=True) for x in range(a, z + 1)] == list(range(size - 399))
+    assert (off >= e - s).all() and (off <= 200).all() and all(len(a) == 0 for a in repeated_spans.anchors([b[:399]], 400))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 5000])
 def test_range_coder(n):
     ids = np.random.default_rng(n).integers(0, 65536, n)
