@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import drop_memo, slices
+
 SAMPLE = 8_000
 BUCKETS = 1 << 18
 GRADES = 3
@@ -48,11 +50,12 @@ def _bucket(kind: int, s: str) -> int:
 
 
 class Features(dict):
-    """word -> (shape, its buckets), remembered up to a bound. With `only`, other buckets are left out."""
+    """word -> (shape, its buckets), remembered up to a bound; equal values are one object. With `only`, other buckets are left out."""
 
-    def __init__(self, only: frozenset[int] | None = None, bound: int = 600_000):
+    def __init__(self, only: frozenset[int] | None = None, bound: int = 300_000):
         super().__init__()
         self.only, self.bound = only, bound
+        self.values: dict[tuple, tuple] = {}
 
     def keep(self, buckets: Iterable[int]) -> tuple[int, ...]:
         return tuple(b for b in buckets if self.only is None or b in self.only)
@@ -60,9 +63,11 @@ class Features(dict):
     def __missing__(self, word: str) -> tuple[str, tuple[int, ...]]:
         if len(self) > self.bound:
             self.clear()
+            self.values.clear()
         core = word.strip(_MARKS)
         form, bare = shape(word, core), core.lower()
-        out = self[word] = (form, self.keep((_bucket(1, bare), _bucket(2, bare[:5]), _bucket(3, bare[:4]), _bucket(4, form))))
+        value = (form, self.keep((_bucket(1, bare), _bucket(2, bare[:5]), _bucket(3, bare[:4]), _bucket(4, form))))
+        out = self[word] = self.values.setdefault(value, value)
         return out
 
 
@@ -136,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     rows = rows.groupBy("doc_id", "_g").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memo()
         memo = Features()
-        for b in batches:
+        for b in slices(batches):
             found = [buckets_of(t, memo) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int32())), b.column("_g").cast(pa.int32())], names=["doc_id", "buckets", "grade"])
 
@@ -152,9 +158,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float =
     packed, cut = model[0].tobytes(), model[1].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memo()
         weights = np.frombuffer(packed, np.int64)
         memo = Features(frozenset(np.nonzero(weights)[0].tolist()))
-        for b in batches:
+        for b in slices(batches):
             sums, some = [], []
             for t in b.column("text").to_pylist():
                 found = buckets_of(t or "", memo)
@@ -172,9 +179,10 @@ def kept(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0
     packed, cut = model[0].tobytes(), float(model[1][-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memo()
         weights = np.frombuffer(packed, np.int64)
         memo = Features(frozenset(np.nonzero(weights)[0].tolist()))
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for t in b.column("text").to_pylist():
                 score_ = int(weights[buckets_of(t or "", memo)].sum()) / UNIT

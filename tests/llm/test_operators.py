@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glimmerlode.llm import block_labeller, chat_windows, decontaminate, exact_dedup, jaccard_join, ordinal_quality, piece_ids, range_coder, repeated_spans, secret_scan, source_mixing, suffix_array, token_files
+from glimmerlode.llm import block_labeller, chat_windows, common, decontaminate, exact_dedup, jaccard_join, ordinal_quality, piece_ids, range_coder, repeated_spans, secret_scan, source_mixing, suffix_array, token_files
 
 SCHEMA = "doc_id long, text string, source string, n long, cid long"
 
@@ -430,3 +431,19 @@ def test_quality_with_repeats_nulls_and_no_rows(spark):
     assert len(got) == len(rows) and all(r.keep == bool(t and t.startswith("good")) for r, (_, t, _) in zip(got, rows, strict=True))
     assert ordinal_quality.kept(df, model).columns == df.columns
     assert ordinal_quality.score(df.limit(0), ordinal_quality.train(df.limit(0), labels)).count() == 0
+
+
+def test_worker_processes_hold_no_memo_beyond_its_stage(spark):
+    """Words of the tokenizer go before the next stage takes its own room; a later call starts anew with the same ids."""
+    path = token_files.default_tokenizer(spark)
+    pieces = piece_ids.of_file(path)
+    assert piece_ids.of_file(path) is pieces
+    want = pieces.encode(["some words here"])[0].tolist()
+    assert list(token_files._read(iter(()))) == [] and piece_ids.of_file(path) is not pieces
+    assert piece_ids.of_file(path).encode(["some words here"])[0].tolist() == want
+    rows = [(k, f"word{k} of a text" if k % 7 else None) for k in range(2500)]
+    big = pa.RecordBatch.from_pylist([{"doc_id": k, "text": t} for k, t in rows])
+    parts = list(common.slices(iter([big, big.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= common.SLICE and [r["doc_id"] for p in parts for r in p.to_pylist()] == [k for k, _ in rows]
+    memo = ordinal_quality.Features(frozenset(), 1000)
+    assert len({id(memo[f"word{'ab'[k % 2]}{k}x"]) for k in range(900)}) == 1
