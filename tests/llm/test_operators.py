@@ -172,6 +172,38 @@ def test_range_coder(n):
             range_coder.decode(coded[:4] + bytes([coded[4] ^ 1]) + coded[5:])
 
 
+def test_ids_that_no_context_foretells_are_coded_by_their_shares(monkeypatch):
+    r = np.random.default_rng(5)
+    ids = np.minimum(r.zipf(1.3, 150_001), 20_000)
+    began = time.process_time()
+    coded = range_coder.encode(ids)
+    assert (range_coder.decode(coded) == ids).all()
+    took = time.process_time() - began
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(coded) <= 1.02 * len(ids) * -(share * np.log2(share)).sum() / 8 + 6 * len(share) + 12 * range_coder.LANES + 64
+    for at in (4, 30, len(coded) // 2):
+        with pytest.raises(ValueError):
+            range_coder.decode(coded[:at] + bytes([coded[at] ^ 1]) + coded[at + 1 :])
+    with pytest.raises(ValueError):
+        range_coder.decode(coded[:-2])
+    monkeypatch.setattr(range_coder, "PAYS", 0)  # contexts mixed all the same
+    began = time.process_time()
+    assert (range_coder.decode(range_coder.encode(ids)) == ids).all()
+    assert 2 * took < time.process_time() - began
+    monkeypatch.undo()
+    said = np.tile(r.integers(0, 5000, 300), 200)
+    assert range_coder.contexts_pay(said) and (range_coder.decode(range_coder.encode(said)) == said).all()
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 64, 2048])
+def test_carries_and_uneven_lanes_of_shares(lanes, monkeypatch):
+    monkeypatch.setattr(range_coder, "LANES", lanes)
+    r = np.random.default_rng(lanes)
+    for n, kinds, rare in ((1, 1, 1), (700, 1, 1), (701, 2, 0.01), (900, 300, 0.5), (2500, 32_768, 1)):
+        ids = np.where(r.random(n) < rare, r.integers(0, kinds, n), kinds - 1)
+        assert (range_coder.decode(range_coder._encode_shares(ids, np.bincount(ids))) == ids).all()
+
+
 def test_token_files(docs, rows, spark):
     path = token_files.default_tokenizer(spark)
     from tokenizers import Tokenizer
@@ -200,6 +232,26 @@ def test_piece_ids_equal_whole_texts(monkeypatch):
     assert piece_ids.PieceIds(path, whole=True).encode(["a B"])[0].tolist() == t.encode("a B", add_special_tokens=False).ids
 
 
+def test_pieces_of_words_are_learnt_once(monkeypatch):
+    """Case, marks and Latin-1 letters make no new piece; composing marks, apostrophes and equal hashes change no id."""
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer(None)
+    t = Tokenizer.from_file(path)
+    same = ["déjà vu, Déjà (VU)!", "DÉJÀ\tvu?", "\"vu\"déjà"]
+    texts = [*same, "H\u0331a T\u0308b h\u0331", "l'été d'Où it's 'So !'s", "×÷a÷b Ÿ ÿ ß ẞ", "x" * 70, "X" * 70 + "y", "\x00a a\x00 \x7f \x1cb", "\x85a\xa0b\u2028c", "12é34", "É" * 9]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    pieces = piece_ids.PieceIds(path)
+    assert [x.tolist() for x in pieces.encode(same)] == want[:3]
+    held = {"déjà", "vu", ",", "(", ")!", "?", '"'}
+    assert len(pieces.key) == len(held)
+    assert [x.tolist() for x in pieces.encode(texts)] == want
+    hashes = piece_ids.run_hashes
+    monkeypatch.setattr(piece_ids, "run_hashes", lambda *a: (hashes(*a)[0] & np.uint64(3), hashes(*a)[1]))
+    some = piece_ids.PieceIds(path)
+    assert [some.encode([x])[0].tolist() for x in [*texts, *texts]] == [*want, *want]
+
+
 def test_chat_windows(spark):
     turns = [(1, i, ("system", "user", "assistant")[i and 1 + (i + 1) % 2], f"text {i} <|im_end|> <\\| " + "w " * (i * 40), 0) for i in range(12)] + [(2, 0, None, None, 0), (2, 0, "assistant", "", 0)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, window long")
