@@ -46,6 +46,7 @@ ROWS = 512
 WHOLE = 96
 DENSE = 4
 SPACE = 1 << 21
+CELLS = 1 << 23
 _SPREAD = np.uint64(0xA0761D6478BD642F)
 
 
@@ -184,7 +185,7 @@ class RTree:
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Common tokens of every two of a block's ascending sets, some ranges of the hash space at a time."""
+    """Common tokens of every two of a block's ascending sets, some ranges of the hash space and up to CELLS marks at a time."""
     total = np.zeros((len(sets), len(sets)), np.int64)
     steps = 1 + sum(map(len, sets)) // SPACE
     cuts = np.array([(k << 64) // steps for k in range(1, steps)], np.uint64)
@@ -193,10 +194,14 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         parts = [s[e[k] : e[k + 1]] for s, e in zip(sets, edges, strict=True)]
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         _, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        some, slot = times[column] > 1, np.cumsum(times > 1) - 1
-        held = np.zeros((len(parts), int((times > 1).sum())), np.float32)
-        held[of[some], slot[column[some]]] = 1
-        total += (held @ held.T).astype(np.int64)
+        some = times[column] > 1
+        row, slot = of[some], (np.cumsum(times > 1) - 1)[column[some]]
+        shared, width = int((times > 1).sum()), max(1, CELLS // max(1, len(parts)))
+        for lo in range(0, shared, width):
+            now = (slot >= lo) & (slot < lo + width)
+            held = np.zeros((len(parts), min(width, shared - lo)), np.float32)
+            held[row[now], slot[now] - lo] = 1
+            total += (held @ held.T).astype(np.int64)
     return total
 
 

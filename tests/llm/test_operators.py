@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -104,6 +105,20 @@ def test_jaccard_tiles_of_crowds(spark, monkeypatch):
     assert 0 < after < before and across and tiles
 
 
+def test_overlaps_of_a_block_take_bounded_memory():
+    """Common tokens are counted some at a time, however many a block's sets share."""
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 40_000, 100).astype(np.uint64) << np.uint64(48)) for _ in range(1024)]
+    tracemalloc.start()
+    got = jaccard_join._overlaps(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    for a, b in r.integers(0, len(sets), (300, 2)).tolist():
+        assert got[a, b] == got[b, a] == len(np.intersect1d(sets[a], sets[b]))
+    assert got.diagonal().sum() <= sum(map(len, sets)) and got.any()
+
+
 def check_spans(spark, texts, length=400, crowd=512):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
