@@ -150,6 +150,22 @@ def test_repeated_spans_of_crowds_and_periods(spark):
         assert check_spans(spark, [t.encode() for t in texts], 40, crowd) > 3000
 
 
+def test_removed_spans_and_texts_are_given(spark):
+    """The operator gives what it removed and what is left, not digests alone; a cut within a character leaves none of it."""
+    r = random.Random(12)
+    say = lambda k: "".join(r.choice("abcdefghij ") for _ in range(k))
+    passage, other = say(60), say(50)
+    texts = [say(20) + passage + say(9) + other, other + say(30) + passage, "clean " + say(70), None, "x\u00e9" + passage + "y", "z\u00c9" + passage[1:] + "z", "q\u0129" + passage + "y", ""]
+    got = {g.doc_id: g for g in repeated_spans.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40).collect()}
+    for k, text in enumerate(texts):
+        t, spans = (text or "").encode(), [tuple(map(int, x.split(":"))) for x in got[k].spans.split(",") if x]
+        left = b"".join(t[a:z] for a, z in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), len(t)], strict=True))
+        assert (got[k].n_removed, got[k].n_spans, got[k].n_bytes) == (len(t) - len(left), len(spans), len(t))
+        assert got[k].kept_sha256 == hashlib.sha256(left).hexdigest() and got[k].text == left.decode("utf-8", "ignore")
+        assert passage not in got[k].text and other not in got[k].text
+    assert got[2].text == texts[2] and got[0].n_spans == got[1].n_spans == 2 and got[4].text == "x" and got[3].text == ""
+
+
 def test_suffix_array(monkeypatch):
     r = random.Random(1)
     for small in (1024, 4):
