@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, materialize
+from .common import discard, fresh, materialize
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -82,8 +82,9 @@ def fillers(rows: DataFrame, key: str, width: int = WINDOW) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, width: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, hits, n_windows and similarity of every contaminated document and item."""
-    items = fillers(benchmark.select("item_id", "text"), "item_id", width).groupBy("item_id", "h").agg(F.collect_set("q").alias("qs"))
+    """doc_id, item_id, hits, n_windows and similarity of every contaminated document and item. Each step is stored, as the driver's memory follows the size of a plan."""
+    cells = materialize(fillers(benchmark.select("item_id", "text"), "item_id", width), "bench-fillers")
+    items = cells.groupBy("item_id", "h").agg(F.collect_set("q").alias("qs"))
     items = items.withColumn("n_windows", F.count("*").over(W.partitionBy("item_id")))
     items = materialize(items.select("item_id", "n_windows", "h", F.explode(F.array_distinct(F.concat(F.array("h"), "qs"))).alias("k")), "bench-windows")
     small = items.count() <= BROADCAST_ROWS
@@ -91,29 +92,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     met = windows(docs.select("doc_id", "text"), "doc_id", width).join(near, "k").drop("k")
     hits = met.distinct().groupBy("doc_id", "item_id", "n_windows").agg(F.count("*").alias("hits"))
     found = materialize(hits.where(F.col("hits") >= similarity * F.col("n_windows")), "bench-hits")
-    slotted = _consistent(docs, benchmark, found, width)
+    slotted = _consistent(docs, cells, found, width)
+    discard(cells, items)
     out = found.join(slotted, found["doc_id"].eqNullSafe(slotted["s_doc"]) & found["item_id"].eqNullSafe(slotted["s_item"]), "left")
     kept = F.coalesce("s_hits", "hits")
     out = out.where(kept >= similarity * F.col("n_windows"))
     return out.select("doc_id", "item_id", kept.cast("long").alias("hits"), F.col("n_windows").cast("long").alias("n_windows"), F.round(kept / F.col("n_windows"), 6).alias("similarity"))
 
 
-def _consistent(docs: DataFrame, benchmark: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """s_doc, s_item, s_hits: for candidates whose item has slots, the distinct windows whose fillers hold.
+def _consistent(docs: DataFrame, bench: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """s_doc, s_item, s_hits, stored: for candidates whose item has slots, the distinct windows whose fillers hold.
 
     These are windows with the same words on both sides, or whose fillers all follow their diagonal's
     mapping: each item filler goes to the document filler it meets in most windows, and of item fillers that then share
     a document filler the one with most windows keeps it.
     """
-    items = fillers(benchmark.select("item_id", "text"), "item_id", width).select(F.col("item_id").alias("s_item"), F.col("pos").alias("i_pos"), "h", "q", F.col("f").alias("i_f"))
+    items = bench.select(F.col("item_id").alias("s_item"), F.col("pos").alias("i_pos"), "h", "q", F.col("f").alias("i_f"))
     with_slots = items.where(F.exists("i_f", lambda x: x.isNotNull())).select("s_item").distinct()
     pairs = found.join(with_slots, F.col("item_id").eqNullSafe(F.col("s_item"))).select("doc_id", "s_item").distinct()
+    pairs = materialize(pairs, "bench-pairs")
     wanted = pairs.select(F.col("doc_id").alias("w_doc")).distinct()
     own = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")), "left_semi")
     own = fillers(own, "doc_id", width).withColumnRenamed("doc_id", "s_doc")
-    own = own.join(pairs, F.col("s_doc").eqNullSafe(F.col("doc_id"))).drop("doc_id")
-    said = own.select("s_doc", "s_item", "q").distinct().join(items, ["s_item", "q"]).select("s_doc", "s_item", "h", F.lit(True).alias("good"))
-    cells = own.drop("q").join(items.drop("q"), ["s_item", "h"])
+    own = materialize(own, "bench-own")
+    near = own.join(pairs, F.col("s_doc").eqNullSafe(F.col("doc_id"))).drop("doc_id")
+    said = near.select("s_doc", "s_item", "q").distinct().join(items, ["s_item", "q"]).select("s_doc", "s_item", "h", F.lit(True).alias("good"))
+    cells = near.drop("q").join(items.drop("q"), ["s_item", "h"])
     both = F.filter(F.zip_with("i_f", "f", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"].isNotNull())
     cells = cells.select("s_doc", "s_item", "h", "pos", (F.col("pos") - F.col("i_pos")).alias("diagonal"), F.array_distinct(both).alias("pairs"))
     line, a, b = ["s_doc", "s_item", "diagonal"], F.col("pair.a"), F.col("pair.b")
@@ -121,11 +125,14 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, found: DataFrame, width:
     slots = slots.withColumn("first", F.max(F.struct("votes", a == b, b)).over(W.partitionBy(*line, a))["b"] == b)
     slots = slots.withColumn("agrees", F.col("first") & (F.max(F.when(F.col("first"), F.struct("votes", a == b, a))).over(W.partitionBy(*line, b))["a"] == a))
     held = slots.groupBy(*line, "pos", "h", "pairs").agg(F.bool_and(F.coalesce("agrees", F.lit(False))).alias("good")).select("s_doc", "s_item", "h", "good")
-    return held.unionByName(said).groupBy("s_doc", "s_item").agg(F.count_distinct(F.when(F.col("good"), F.col("h"))).alias("s_hits"))
+    held = held.unionByName(said).groupBy("s_doc", "s_item").agg(F.count_distinct(F.when(F.col("good"), F.col("h"))).alias("s_hits"))
+    out = materialize(held, "bench-held")
+    discard(pairs, own)
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; columns of any name pass through."""
     name = fresh(docs, "bad_id")
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "bench-leaks")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

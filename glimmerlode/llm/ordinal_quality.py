@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import drop_memo, slices
+from .common import drop_memo, give_back, slices
 
 SAMPLE = 8_000
 BUCKETS = 1 << 18
@@ -90,21 +90,32 @@ def buckets_of(text: str, memo: Features) -> list[int]:
     return sorted(out)
 
 
+def _cells(rows: list[tuple[list[int], int]], step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of rows and their buckets, few rows at a time: most buckets take no part, and the driver has little room."""
+    for at in range(0, len(rows), step):
+        some = [np.asarray(b, np.int64) for b, _ in rows[at : at + step]]
+        yield np.repeat(np.arange(at, at + len(some)), [len(b) for b in some]), np.concatenate(some)
+
+
 def fit(rows: list[tuple[list[int], int]], epochs: int = 160, rate: float = 0.06, l2: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights in whole units and GRADES - 1 ascending thresholds, by full-batch Adam."""
     grades = np.array([g for _, g in rows])
     if len(set(grades.tolist())) < 2:
         return np.zeros(BUCKETS, np.int64), np.full(GRADES - 1, -4.0)
-    doc = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
-    col = np.concatenate([np.asarray(b, np.int64) for b, _ in rows])
-    df = np.bincount(col, minlength=BUCKETS)
-    mean = np.bincount(col, grades[doc], BUCKETS) / np.maximum(df, 1)
+    df, total = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for d, c in _cells(rows):
+        df += np.bincount(c, minlength=BUCKETS)
+        total += np.bincount(c, grades[d], BUCKETS)
+    mean = total / np.maximum(df, 1)
     z = np.abs(mean - grades.mean()) * np.sqrt(df) / max(grades.std(), 1e-9)
     use = np.nonzero((df >= MIN_DOCS) & (df < len(rows)) & (z >= SIGNIFICANT))[0]
     slot = np.full(BUCKETS, -1)
     slot[use] = np.arange(len(use))
-    ok = slot[col] >= 0
-    doc, col = doc[ok], slot[col[ok]]
+    doc, col, n = np.empty(df[use].sum(), np.int64), np.empty(df[use].sum(), np.int64), 0
+    for d, c in _cells(rows):
+        at = np.nonzero(slot[c] >= 0)[0]
+        doc[n : n + len(at)], col[n : n + len(at)] = d[at], slot[c[at]]
+        n += len(at)
     w = np.zeros(len(use))
     cut = np.array([-1.0, 0.0])
     counts = np.bincount(grades, minlength=GRADES)
@@ -150,7 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     got = rows.select("doc_id", "text", "_g").mapInArrow(run, "doc_id long, buckets array<int>, grade int").toArrow()
     order = np.lexsort((got["grade"].to_numpy(), got["doc_id"].to_numpy()))
     lists, grades = got["buckets"].combine_chunks(), got["grade"].to_pylist()
-    return fit([(lists[int(i)].values.to_numpy(), grades[int(i)]) for i in order])
+    model = fit([(lists[int(i)].values.to_numpy(), grades[int(i)]) for i in order])
+    del got, lists, grades, order
+    give_back()  # the driver lives on too
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:

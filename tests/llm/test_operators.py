@@ -530,3 +530,28 @@ def test_worker_processes_hold_no_memo_beyond_its_stage(spark):
     assert max(p.num_rows for p in parts) <= common.SLICE and [r["doc_id"] for p in parts for r in p.to_pylist()] == [k for k, _ in rows]
     memo = ordinal_quality.Features(frozenset(), 1000)
     assert len({id(memo[f"word{'ab'[k % 2]}{k}x"]) for k in range(900)}) == 1
+
+
+def test_driver_memory_of_decontamination_and_training(spark, monkeypatch):
+    """The last plan holds no window work, and training returns what it freed."""
+    docs = spark.createDataFrame([(1, "Tom has 3 apples and 4 pears in his bag today", "a"), (2, "rain fell on the old harbour and all boats stayed", "b"), (None, "nothing of that kind is here at all", "c")], "doc_id long, text string, source string")
+    bench = spark.createDataFrame([(0, "Tom has 3 apples and 4 pears in his bag today")], "item_id long, text string")
+    clean = decontaminate.without_leaks(docs, bench)
+    plan = clean._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "regexp" not in plan and "xxhash64" not in plan
+    assert sorted(str(r.source) for r in clean.collect()) == ["b", "c"]
+    given = []
+    monkeypatch.setattr(ordinal_quality, "give_back", lambda: given.append(1))
+    ordinal_quality.train(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert given
+
+
+def test_fit_needs_little_room_beyond_its_rows():
+    r = np.random.default_rng(3)
+    grades = r.integers(0, 3, 3000).tolist()
+    rows = [(np.unique(np.append(r.integers(100, ordinal_quality.BUCKETS, 800), g)).astype(np.int32), g) for g in grades]
+    tracemalloc.start()
+    weights, cut = ordinal_quality.fit(rows, epochs=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000 and len(cut) == 2 and weights[2] > 0 > weights[0]
