@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from glimmerlode.llm import block_labeller, chat_windows, common, decontaminate, exact_dedup, jaccard_join, ordinal_quality, piece_ids, range_coder, repeated_spans, secret_scan, source_mixing, suffix_array, token_files
@@ -166,6 +167,63 @@ def test_removed_spans_and_texts_are_given(spark):
     assert got[2].text == texts[2] and got[0].n_spans == got[1].n_spans == 2 and got[4].text == "x" and got[3].text == ""
 
 
+def test_texts_that_agree_in_a_plain_hash_stay(spark):
+    """Two texts made to have one anchor and one XXH3 hash, but no repeated string; with other rows, crowded or not, the same."""
+    z = bytearray("".join(random.Random(1369).choices("abcdefghij ", k=472)).encode())
+    z[69:80], z[133:144] = b"aaa&+o\xe9\x80\x80ah", b"aaa*\xea\xa2\xa4aaah"
+    texts = [bytes(z), bytes(z[:79] + b"i" + z[80:143] + b"g" + z[144:])]
+    _, s, e, key, off = repeated_spans.anchors(texts, 400)
+    assert key[0] == key[1] and e.tolist() == [72, 72] and off.tolist() == [171, 171] and s.tolist() == [0, 0]
+    assert len({xxhash.xxh3_64_intdigest(t, 171 * 512 + 72) for t in texts}) == 1
+    assert check_spans(spark, texts) == 0
+    others = [bytes(z[5:]) + b"x", b"y" + bytes(z[:450]), bytes(z[20:440])]
+    for crowd in (1, 512):
+        assert check_spans(spark, texts + others, 400, crowd) > 0
+
+
+def test_rows_that_agree_in_a_plain_hash_are_apart(spark):
+    """Two rows of one id whose texts were made to agree in XXH64: the spans of one are not those of the other."""
+    prime1, prime2, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+    r = random.Random(4)
+    seed = spark.sql("SELECT xxhash64(7L) AS h").first().h & full
+    word = lambda: int.from_bytes(bytes(r.choices(b"abcdefghij", k=8)), "little")
+
+    def lane(x):
+        v = (seed + prime1 + prime2 + x * prime2) & full
+        return ((v << 31 | v >> 33) * prime1) & full
+
+    while True:
+        x, y, z = word(), word(), word()
+        w = (z + (lane(x) - lane(y)) * pow(prime2, -1, 1 << 64)) & full
+        if w >> 56 != z >> 56 and all(32 <= c < 127 for c in w.to_bytes(8, "little")):
+            break
+    rest, same = "".join(r.choices("abcdefghij ", k=24)), "".join(r.choices("abcdefghij ", k=900))
+    a, b = (p.to_bytes(8, "little").decode() + rest + q.to_bytes(8, "little").decode() + same for p, q in ((x, z), (y, w)))
+    df = spark.createDataFrame([(7, a), (7, b), (8, a[:420])], "doc_id long, text string")
+    assert a != b and df.where("doc_id = 7").selectExpr("xxhash64(doc_id, text) AS h").distinct().count() == 1
+    got = sorted((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.text) for g in repeated_spans.remove_repeats(df).collect())
+    assert got == [(7, 940, 900, 1, b[:40]), (7, 940, 940, 1, ""), (8, 420, 420, 1, "")]
+
+
+def test_bytes_that_are_not_utf8_count_as_stored(spark):
+    texts = [b"\xff\xfe" * 300, b"\xff" * 300 + b"\xfe" * 300, b"\xfe" * 299 + b"\xff" * 300, b"\xc3" * 399, b"x" + b"\xc3" * 399 + b"y", b"plain " * 80]
+    r = np.random.default_rng(3)
+    base = r.choice(np.array([253, 254, 255], np.uint8), 900)
+    for at in (100, 300, 500, 700):
+        other = base.copy()
+        other[at] ^= 1  # 254 and 255 are told apart
+        texts.append(other.tobytes())
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    df = spark.createDataFrame([(k, bytearray(t)) for k, t in enumerate(texts)], "doc_id long, b binary").selectExpr("doc_id", "CAST(b AS STRING) AS text")
+    for crowd in (1, 512):
+        for g in repeated_spans.remove_repeats(df, 400, crowd).collect():
+            t = texts[g.doc_id]
+            gone = {j for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1 for j in range(i, i + 400)}
+            kept = bytes(c for j, c in enumerate(t) if j not in gone)
+            spans = sum(j - 1 not in gone for j in gone)
+            assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (len(t), len(gone), spans, hashlib.sha256(kept).hexdigest())
+
+
 def test_suffix_array(monkeypatch):
     r = random.Random(1)
     for small in (1024, 4):
